@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dup
+from . import decontaminate, license_scan, mixing, near_dup, quality_rules
 from .common import table
 
 
@@ -13,5 +13,23 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=5, percent=85)
 
 
-QUERIES = {"op3_minhash": op3_minhash}
-ORACLE_SQL: dict[str, str] = {}
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.judged(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, percent=80)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op3_minhash": op3_minhash, "op4_license_scan": op4_license_scan, "op5_quality_rules": op5_quality_rules, "op9_decontaminate": op9_decontaminate, "op10_mixing": op10_mixing}
+ORACLE_SQL: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE}
