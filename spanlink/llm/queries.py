@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, mixing, near_dup, quality_rules
+from . import decontaminate, license_scan, mixing, near_dup, quality_rules, token_files
 from .common import table
 
 
@@ -33,3 +34,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op3_minhash": op3_minhash, "op4_license_scan": op4_license_scan, "op5_quality_rules": op5_quality_rules, "op9_decontaminate": op9_decontaminate, "op10_mixing": op10_mixing}
 ORACLE_SQL: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE}
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+QUERIES |= {"op8_token_files": op8_token_files}
