@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, mixing, near_dup, quality_rules, token_files
-from .common import table
+from . import decontaminate, language_id, license_scan, mixing, near_dup, quality_rules, token_files, warc
+from .common import crc_bucket, table
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,3 +41,16 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op8_token_files": op8_token_files}
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "time", "run", "offset", "length")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_bucket(F.col("doc_id"), 3) == 1)
+    model = language_id.train(docs.where("not held_out"))
+    return language_id.identify(docs, model, keep=("doc_id", "held_out"))
+
+
+QUERIES |= {"op7_warc": op7_warc, "op1_language_id": op1_language_id}
