@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, mixing, near_dup, quality_rules, token_files, warc
+from . import decontaminate, language_id, license_scan, mixing, near_dup, quality_net, quality_rules, token_files, warc
 from .common import crc_bucket, table
 
 
@@ -54,3 +54,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op7_warc": op7_warc, "op1_language_id": op1_language_id}
+
+
+def op6_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_bucket(F.col("doc_id"), 5) == 0)
+    labels = table(spark, sf_dir, "labels").where(crc_bucket(F.col("doc_id"), 5) != 0)
+    net = quality_net.train(docs.where("not held_out"), labels)
+    return quality_net.score(docs, net, threshold=0.3, keep=("doc_id", "held_out"))
+
+
+QUERIES |= {"op6_quality_net": op6_quality_net}
