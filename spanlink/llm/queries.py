@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, mixing, near_dup, quality_net, quality_rules, token_files, warc
+from . import decontaminate, html_text, language_id, license_scan, mixing, near_dup, quality_net, quality_rules, token_files, warc
 from .common import crc_bucket, table
 
 
@@ -64,3 +64,10 @@ def op6_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op6_quality_net": op6_quality_net}
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"), html_text.train())
+
+
+QUERIES |= {"op2_html_text": op2_html_text}
