@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LABELLED_PAGES, SEED, THRESHOLD = 240, 5, 0.5
+LABELLED_PAGES, SEED, THRESHOLD = 400, 5, 0.5
 #: Tag sets of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math select button object canvas".split())
@@ -52,6 +52,10 @@ _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\
 _WHITE = re.compile(r"\s+")
 
 
+#: Blocks of running text: a short one is no sign of boilerplate, and many of them would outvote their parent.
+_TEXTUAL = np.array(["p", "li", "td", "pre", "dd", "dt", "b", "blockquote"])
+
+
 @dataclass
 class Tree:
     tags: list[str]
@@ -168,9 +172,8 @@ def node_features(tree: Tree) -> np.ndarray:
         x[i, _named(tree.tags[i], tree.names[i][:200], tree.roles[i])] = 1
     c = np.array(chars, np.float32)
     x[:, -5] = np.array(linked, np.float32) / np.maximum(c, 1)
-    x[:, -4] = np.log1p(c) / 5
-    x[:, -3] = np.array(words, np.float32) > 12
-    x[:, -2] = c / max(1.0, float(c[0]))
+    x[:, -3] = (np.array(words, np.float32) > 40) & ~np.isin(np.array(tree.tags), _TEXTUAL)
+    x[:, -2] = c > 0
     x[:, -1] = 1
     return x
 

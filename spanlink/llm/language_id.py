@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import ship
+
 ORDER = 4
 SAMPLE_DOCS = 400
 CACHE_WORDS = 250_000
@@ -230,16 +232,17 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, order: int = ORDER) -
 
 def identify(docs: DataFrame, model: Model, min_confidence: float = 0.0, reject_unlike: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep with lang_pred and score; reject_unlike also rejects texts above the calibrated limit."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     limit = model.limit if reject_unlike else float("inf")
-    chosen = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    out = chosen.drop("__text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + ", lang_pred string, score double"
+    chosen = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    at_text = chosen.columns.index("text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[: len(keep)]) + ", lang_pred string, score double"
 
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
-            texts = batch.column(len(keep))
+            texts = batch.column(at_text)
             lang, score = [], []
             for at in range(0, len(texts), 500):
                 a, b = scorer.predict(texts.slice(at, 500).to_pylist(), min_confidence, limit)
