@@ -61,7 +61,7 @@ def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix((total[ends] - total[starts]) * down[starts]), np.searchsorted(starts, offsets)
 
 
-def slices(texts: pa.Array, most: int = 1 << 22):
+def slices(texts: pa.Array, most: int = 1 << 20):
     """Consecutive slices of at most `most` bytes of text, each one text at least: (first row, array)."""
     offsets = text_buffer(texts)[1]
     at = 0

@@ -30,7 +30,7 @@ from .. import ship
 
 ORDER = 4
 SAMPLE_DOCS = 400
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 _LETTER = regex.compile(r"\p{L}")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -163,23 +163,26 @@ class Scorer:
     """Mean nats a character of whole texts; distinct words are scored once and remembered."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.known = model, {}
+        self.model, self.known, self.table = model, {}, np.zeros((0, len(model.languages)), np.float32)
+
+    def _learn(self, words: list[str]) -> None:
+        parts = [self.model.word_costs(words[at : at + 10_000]) for at in range(0, len(words), 10_000)]
+        self.known.update(zip(words, range(len(self.table), len(self.table) + len(words))))
+        self.table = np.concatenate([self.table, *parts])
 
     def costs(self, texts: list) -> np.ndarray:
+        out = np.zeros((len(texts), len(self.model.languages)))
         counted = [Counter(tokens(t)) for t in texts]
         fresh = list(dict.fromkeys(w for c in counted for w in c if w not in self.known))
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known = {}
-            fresh = list(dict.fromkeys(w for c in counted for w in c))
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            self.known.update(zip(part, self.model.word_costs(part), strict=True))
-        out = np.zeros((len(texts), len(self.model.languages)))
+        if fresh:
+            if len(self.known) + len(fresh) > CACHE_WORDS:  # then all words of these texts are learned anew
+                fresh, self.known, self.table = list(dict.fromkeys(w for c in counted for w in c)), {}, self.table[:0]
+            self._learn(fresh)
         for i, c in enumerate(counted):
             if c:
                 n = np.fromiter(c.values(), np.float64, len(c))
                 chars = sum((len(w) + 1) * k for w, k in c.items())
-                out[i] = n @ np.array([self.known[w] for w in c]) / chars
+                out[i] = n @ self.table[np.fromiter(map(self.known.__getitem__, c), np.int64, len(c))] / chars
         return out
 
     def predict(self, texts: list, min_confidence: float = 0.0, limit: float = float("inf")) -> tuple[list[str], list[float]]:
@@ -244,8 +247,8 @@ def identify(docs: DataFrame, model: Model, min_confidence: float = 0.0, reject_
         for batch in batches:
             texts = batch.column(at_text)
             lang, score = [], []
-            for at in range(0, len(texts), 500):
-                a, b = scorer.predict(texts.slice(at, 500).to_pylist(), min_confidence, limit)
+            for at in range(0, len(texts), 200):
+                a, b = scorer.predict(texts.slice(at, 200).to_pylist(), min_confidence, limit)
                 lang += a
                 score += b
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])

@@ -39,7 +39,7 @@ ESCAPE, PAD = 15, 60
 #: Text bytes of a file, about: a file is one row of the binary reader.
 FILE_BYTES = 32 << 20
 #: Words that a worker remembers at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
