@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .. import ship
 
 ORDER = 4
-SAMPLE_DOCS = 400
-CACHE_WORDS = 150_000
+SAMPLE_DOCS = 250
+CACHE_WORDS = 80_000
 _LETTER = regex.compile(r"\p{L}")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -101,10 +101,6 @@ def _next_sums(keys: np.ndarray, context: np.ndarray, values: np.ndarray) -> np.
 def fit(counts: dict[str, Counter], order: int = ORDER) -> Model:
     """Kneser-Ney models of word counts by language."""
     languages = sorted(counts)
-    tables: list[dict] = []
-    for n in range(order):
-        merged: dict = {}
-        tables.append(merged)
     found = []
     for lang in languages:
         words = [w for w in sorted(counts[lang]) if w]
@@ -115,7 +111,10 @@ def fit(counts: dict[str, Counter], order: int = ORDER) -> Model:
         for n in range(order):
             h = grams[n]
             before = np.concatenate([np.zeros(1, np.uint64), grams[n - 1][:-1]]) if n else np.zeros(len(h), np.uint64)
-            per.append((h, before, weight, grams[n + 1] if n + 1 < order else None))
+            longer = None
+            if n + 1 < order:  # the longer n-gram that ends at the same character
+                longer = grams[n + 1]
+            per.append((h, before, weight, longer))
         found.append(per)
     model = Model(languages, [], [], [])
     raw = []

@@ -37,9 +37,9 @@ MAGIC, HEAD, BLOCK = b"S8BC", struct.Struct("<4sIQIQ"), 128
 PACKINGS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE, PAD = 15, 60
 #: Text bytes of a file, about: a file is one row of the binary reader.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 12 << 20
 #: Words that a worker remembers at most.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 80_000
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
