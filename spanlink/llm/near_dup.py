@@ -7,7 +7,7 @@ A half key that only one text has cannot be part of a shared table and is droppe
 
 Inside a bucket pairs are not enumerated: each round compares all members with one leader, on full shingle sets. Only
 buckets whose members are still in different components go on, with the member nearest to earlier leaders as the next
-leader. What is left after `rounds` leaders is compared pair by pair, in different components only, so no link is lost.
+leader. What is left after `rounds` leaders goes through an exact prefix filter on full shingle sets, so no link is lost.
 
 Inputs: null, empty and blank texts have the empty set and are linked with nothing; equal sets are one class before any
 hashing, whatever the group's size; rows that repeat a doc_id count as one document with the smallest of their
@@ -20,6 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +28,7 @@ from .common import materialize
 from .components import components
 from .hashing import mix, shingle_sets
 
-ROWS, HALVES, ROUNDS = 3, 10, 4
+ROWS, HALVES, ROUNDS = 3, 10, 2
 _rng = np.random.Generator(np.random.PCG64(977))
 _XOR = _rng.integers(1, 2**64, 4096, dtype=np.uint64)
 _ODD = _rng.integers(1, 2**64, 4096, dtype=np.uint64) | np.uint64(1)
@@ -132,9 +133,7 @@ def _link(docs: DataFrame, reps: DataFrame, k: int, percent: int, rounds: int) -
         if r < rounds:
             pairs = _leader_pairs(open_rows, best, percent)
         else:
-            x, y = open_rows.alias("x"), open_rows.alias("y")
-            pairs = x.join(y, F.expr("x.tk = y.tk and x.rep < y.rep and x.comp <> y.comp")).where(_near_sizes(F.col("x.n"), F.col("y.n"), percent))
-            pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+            pairs = _prefix_pairs(docs, open_rows.groupBy("rep").agg(F.first("n").alias("n"), F.first("comp").alias("comp")), k, percent)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -155,6 +154,33 @@ def _link(docs: DataFrame, reps: DataFrame, k: int, percent: int, rounds: int) -
     return labels
 
 
+def _prefix_pairs(docs: DataFrame, rest: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b), a < b: pairs of rest (rep, n, comp) in different components that can be linked, by an exact prefix filter.
+
+    Linked sets share one of their first n - ceil(percent * n / 100) + 1 shingles in order of ascending frequency. Shingles
+    that one text alone has come first in that order and match nothing, so passages that many texts share, which come
+    last, make no pairs.
+    """
+    rest = materialize(rest, "rest")
+    ids = rest.select(F.col("rep").alias("doc_id"))
+
+    def run(batches):
+        for batch in batches:
+            sets = pa.array([g.view(np.int64) for g in shingle_sets(batch.column(1), k)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["rep", "hs"])
+
+    sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "rep long, hs array<long>")
+    grams = materialize(sets.select("rep", F.explode("hs").alias("h")), "grams")
+    shared = materialize(grams.join(grams.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "h"), "shared")
+    least = F.ceil(F.col("n") * percent / 100)
+    left = shared.groupBy("rep").agg(F.count("*").alias("m")).join(rest, "rep").select("rep", "n", "comp", (F.col("m") + 1 - least).alias("left")).where("left > 0")
+    order = F.row_number().over(W.partitionBy("rep").orderBy("c", "h"))  # of one text's own shingles
+    prefix = shared.join(left, "rep").withColumn("at", order).where(F.col("at") <= F.col("left")).select("h", "rep", "n", "comp")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    met = x.join(y, F.expr("x.h = y.h and x.rep < y.rep and x.comp <> y.comp")).where(_near_sizes(F.col("x.n"), F.col("y.n"), percent))
+    return met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
 def _leader_pairs(rows: DataFrame, best: DataFrame | None, percent: int) -> DataFrame:
     """(a, b), a < b: each bucket's leader with the members of other components.
 
