@@ -20,6 +20,7 @@ are ignored; empty tables give no files and an empty result.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 
@@ -38,8 +39,8 @@ PACKINGS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8)
 ESCAPE, PAD = 15, 60
 #: Text bytes of a file, about: a file is one row of the binary reader.
 FILE_BYTES = 12 << 20
-#: Words that a worker remembers at most.
-CACHE_WORDS = 80_000
+#: Pieces that a worker remembers at most.
+CACHE_PIECES = 160_000
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,57 +153,62 @@ def chunks(data: bytes):
         yield [int(d) if h else None for h, d in zip(has, known, strict=True)], lengths.astype(np.int64), unpack(heads, words, n)
 
 
+#: Characters whose classes and lower-case forms are plain; other texts, and those with a special token, are encoded whole.
+_OTHER = re.compile(r"[^\x00-\x1b\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]|<\|")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids of whole texts, word by word through a bounded cache.
+    """Ids of whole texts, piece by piece through a bounded cache.
 
-    The tokenizer drops white space and none of its rules looks across it, so the ids of a text are those of its parts.
-    Texts with one of U+001C to U+001F, which Python splits at and the tokenizer does not, are encoded as a whole.
+    The tokenizer's rules cut a text into pieces that its model encodes one by one, and drop white space. Texts of plain
+    characters are cut here by the same rules and only unknown pieces go to the model; all others go through the tokenizer.
+    The shortcut is for vocabularies whose rules are those of _PIECES on lower-case text; `plain` turns it off.
     """
 
-    MARK = "\x01"
-
-    def __init__(self, path: str, end_id: int) -> None:
+    def __init__(self, path: str, end_id: int, plain: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.known, self.end = Tokenizer.from_file(path), {}, np.array([end_id], "<u4").tobytes()
-        mark = self._raw(self.MARK)
-        self.mark = int(mark[0]) if len(mark) == 1 else None
+        self.tok, self.known, self.end, self.plain = Tokenizer.from_file(path), {}, np.array([end_id], "<u4").tobytes(), plain
+        self.model, self.letters = self.tok.model, _byte_letters()
 
-    def _raw(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
+    def _piece(self, piece: str) -> bytes:
+        if len(self.known) >= CACHE_PIECES:
             self.known.clear()
-        easy = [w for w in words if self.mark is not None and self.MARK not in w]
-        ids = self._raw(f" {self.MARK} ".join(easy)) if easy else np.zeros(0, "<u4")
-        cuts = np.flatnonzero(ids == self.mark) if easy else []
-        if easy and len(cuts) == len(easy) - 1:
-            data, edges = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
-            for w, a, b in zip(easy, edges, edges[1:]):
-                self.known[w] = data[4 * a + 4 : 4 * b]
-        else:
-            easy = []
-        for w in set(words).difference(easy):
-            self.known[w] = self._raw(w).tobytes()
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        found = self.known[piece] = np.array(ids, "<u4").tobytes()
+        return found
 
     def __call__(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids, the end id last."""
         if not text:
             return self.end
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self._raw(text).tobytes() + self.end
-        words = text.split()
+        if not self.plain or _OTHER.search(text):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
+        pieces, known = _PIECES.findall(text.lower()), self.known
         try:
-            return b"".join(map(self.known.__getitem__, words)) + self.end
+            return b"".join(map(known.__getitem__, pieces)) + self.end
         except KeyError:
-            known = self.known
-            fresh = [w for w in set(words) if w not in known]
-            if len(fresh) > CACHE_WORDS // 2:
-                return self._raw(text).tobytes() + self.end
-            self._learn(fresh)
-        return b"".join([self.known[w] if w in self.known else self._raw(w).tobytes() for w in words]) + self.end
+            return b"".join([known.get(p) or self._piece(p) for p in pieces]) + self.end
+
+
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    """This worker's encoder, loaded once and used by all its tasks."""
+    if (path, end_id) not in _encoders:
+        _encoders.clear()
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, file_bytes: int = FILE_BYTES) -> None:
@@ -213,7 +219,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, file_byte
     def run(batches):
         encode = None
         for batch in batches:
-            encode = encode or Encoder(tokenizer, end_id)
+            encode = encode or encoder(tokenizer, end_id)
             ids = batch.column(0).to_pylist()
             for at, part in slices(batch.column(1)):
                 coded = [encode(t) for t in part.to_pylist()]
