@@ -58,10 +58,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int
         return words.select(F.col("id").alias("doc_id"), F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_shared"), F.lit(0).cast("long").alias("n_item")).where("false")
 
     def rolling(worded: DataFrame, build, column: str) -> DataFrame:
-        parts = [F.transform(build(w), lambda g, w=w: F.struct(F.lit(w).alias("width"), g.alias(column))) for w in widths]
+        def tagged(w: int):
+            return F.transform(build(w), lambda g: F.struct(F.lit(w).alias("width"), g.alias(column)))
+
         if len(widths) == 1:
             return worded.select(F.col("id").alias("doc_id"), F.explode(build(widths[0])).alias(column)).withColumn("width", F.lit(widths[0]))
-        return worded.select(F.col("id").alias("doc_id"), F.explode(F.concat(*parts)).alias("g")).select("doc_id", "g.*")
+        return worded.select(F.col("id").alias("doc_id"), F.explode(F.concat(*map(tagged, widths))).alias("g")).select("doc_id", "g.*")
 
     keyed = words.select("id", word_keys(F.col("w")).alias("keys"))
     sketch = broadcast_if_small(materialize(sketches(grams, percent), "sketches"), MAX_BROADCAST_ROWS)
