@@ -40,7 +40,7 @@ ESCAPE, PAD = 15, 60
 #: Text bytes of a file, about: a file is one row of the binary reader.
 FILE_BYTES = 12 << 20
 #: Pieces that a worker remembers at most.
-CACHE_PIECES = 160_000
+CACHE_PIECES = 400_000
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,6 +165,13 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _next_none(parts: list, at: int) -> int:
+    try:
+        return parts.index(None, at)
+    except ValueError:
+        return -1
+
+
 class Encoder:
     """Ids of whole texts, piece by piece through a bounded cache.
 
@@ -193,11 +200,11 @@ class Encoder:
             return self.end
         if not self.plain or _OTHER.search(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
-        pieces, known = _PIECES.findall(text.lower()), self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces)) + self.end
-        except KeyError:
-            return b"".join([known.get(p) or self._piece(p) for p in pieces]) + self.end
+        pieces = _PIECES.findall(text.lower())
+        parts, at = list(map(self.known.get, pieces)), -1
+        while (at := _next_none(parts, at + 1)) >= 0:
+            parts[at] = self.known.get(pieces[at]) or self._piece(pieces[at])
+        return b"".join(parts) + self.end
 
 
 _encoders: dict[tuple, Encoder] = {}
