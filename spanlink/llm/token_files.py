@@ -43,6 +43,17 @@ FILE_BYTES = 12 << 20
 CACHE_PIECES = 400_000
 
 
+def _needs(ids: np.ndarray) -> np.ndarray:
+    """For each id one more than the largest packing width that is too narrow for it, or 0."""
+    need = np.zeros(ids.shape, np.uint8)
+    for bits in sorted({w for _, w in PACKINGS}):
+        need[ids >= np.uint64(1 << bits)] = bits + 1
+    return need
+
+
+_SHORT = _needs(np.arange(1 << 16, dtype=np.uint64))
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first word of each block and the end, words) of unsigned 64-bit ids."""
     ids = np.asarray(ids, np.uint64)
@@ -53,9 +64,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flat = np.zeros(blocks * BLOCK, np.uint64)
     flat[:n] = ids
     wide[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    need = np.zeros(wide.shape, np.uint8)
-    for bits in sorted({w for _, w in PACKINGS}):
-        need[wide >= np.uint64(1 << bits) if bits < 64 else False] = bits + 1
+    need = _SHORT[wide] if int(ids.max()) < len(_SHORT) else _needs(wide)
     top = {1: need}
     for c in (2, 4, 8, 16, 32):
         half = top[c // 2]
