@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,12 +35,41 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/spanlink-{name}-{uuid.uuid4().hex}"
 
 
+#: Has Spark delete a query's shuffle files when the query ends, not when the driver next collects its garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of the queries that run inside go as soon as each has ended; lost ones are made anew by stage retries."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back. The written table outlives lost executors and cuts the lineage."""
     ship(df.sparkSession)
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.spanlink_path = path
+    return written
+
+
+def discard(*written: DataFrame | None) -> None:
+    """Delete materialized tables that nothing reads any more; None and tables deleted before are passed over."""
+    for df in written:
+        if df is not None and getattr(df, "spanlink_path", None):
+            drop_path(df.sparkSession, df.spanlink_path)
+            df.spanlink_path = None
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
