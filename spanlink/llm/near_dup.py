@@ -17,6 +17,8 @@ so their names cannot clash. Empty tables give empty tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import discard, materialize
 from .components import components
 from .hashing import mix, shingle_sets
 
@@ -109,10 +111,11 @@ def _tables(reps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, rows: int = ROWS, halves: int = HALVES, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with an equal set)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = materialize(sketches(docs, k, rows, halves), "sketches")
+    sketch, unique = materialize(sketches(docs, k, rows, halves), "sketches"), None
     known = sketch.where("doc_id is not null")
     if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")).unionByName(docs.where("doc_id is null")), "unique")
+        docs = unique = materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")).unionByName(docs.where("doc_id is null")), "unique")
+        discard(sketch)
         sketch = materialize(sketches(docs, k, rows, halves), "sketches")
         known = sketch.where("doc_id is not null")
     classes = known.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
@@ -122,44 +125,55 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, rows: int =
     joined = with_class.join(comps.select(F.col("id").alias("class_id"), "comp"), "class_id", "left") if comps is not None else with_class.withColumn("comp", F.lit(None).cast("long"))
     out = joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "class_id").alias("component_id"), "class_id")
     out = out.unionByName(sketch.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("long").alias("class_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id")
+    groups = materialize(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id"), "groups")
+    discard(sketch, unique, comps)
+    return groups
 
 
 def _link(docs: DataFrame, reps: DataFrame, k: int, percent: int, rounds: int) -> DataFrame | None:
     """Components of the linked representatives, or None where no pair meets."""
     open_rows = materialize(_tables(reps).withColumn("comp", F.col("rep")), "tables")
-    seen = edges = labels = best = None
+    edges = labels = None
+    rounds_checked: list[DataFrame] = []
     for r in range(rounds + 1):
         if r < rounds:
-            pairs = _leader_pairs(open_rows, best, percent)
+            pairs = _leader_pairs(open_rows, rounds_checked, percent)
         else:
             pairs = _prefix_pairs(docs, open_rows.groupBy("rep").agg(F.first("n").alias("n"), F.first("comp").alias("comp")), k, percent)
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        if rounds_checked:
+            pairs = pairs.join(reduce(DataFrame.unionByName, [c.select("a", "b") for c in rounds_checked]), ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
+            discard(pairs)
             if open_rows.isEmpty():
                 break
             continue
         checked = materialize(_similar(pairs, docs, k, percent), "checked")
-        seen = checked.select("a", "b") if seen is None else seen.unionByName(checked.select("a", "b"))
+        discard(pairs)
+        rounds_checked.append(checked)
         linked = checked.where("linked").select("a", "b")
         edges = linked if edges is None else edges.unionByName(linked)
-        ends = checked.select(F.col("a").alias("rep"), "jac").unionByName(checked.select(F.col("b").alias("rep"), "jac"))
-        best = ends if best is None else best.unionByName(ends)
+        discard(labels)
         labels = components(edges)
+        if r == rounds:
+            break
         relabelled = open_rows.drop("comp").join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         split = relabelled.groupBy("tk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tk")
-        open_rows = materialize(relabelled.join(split, "tk", "left_semi").select("tk", "rep", "n", "comp"), "open")
+        left = materialize(relabelled.join(split, "tk", "left_semi").select("tk", "rep", "n", "comp"), "open")
+        discard(open_rows)
+        open_rows = left
+    discard(open_rows, *rounds_checked)
     return labels
 
 
 def _prefix_pairs(docs: DataFrame, rest: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b), a < b: pairs of rest (rep, n, comp) in different components that can be linked, by an exact prefix filter.
 
-    Linked sets share one of their first n - ceil(percent * n / 100) + 1 shingles in order of ascending frequency. Shingles
-    that one text alone has come first in that order and match nothing, so passages that many texts share, which come
-    last, make no pairs.
+    Sets of x and y shingles are linked when (100 + percent) * common >= percent * (x + y). Each set's shingles are ordered by
+    ascending frequency; those that one text alone has come first and match nothing, so passages that many texts share,
+    which come last, make no pairs. Behind a linked pair's first common shingle, itself included, both sets must have enough
+    shingles left: the join asks this of every shingle it meets on. A set meets smaller sets with a longer
+    prefix and larger sets with a shorter one, and each pair only from its larger side.
     """
     rest = materialize(rest, "rest")
     ids = rest.select(F.col("rep").alias("doc_id"))
@@ -172,25 +186,31 @@ def _prefix_pairs(docs: DataFrame, rest: DataFrame, k: int, percent: int) -> Dat
     sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "rep long, hs array<long>")
     grams = materialize(sets.select("rep", F.explode("hs").alias("h")), "grams")
     shared = materialize(grams.join(grams.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "h"), "shared")
-    least = F.ceil(F.col("n") * percent / 100)
-    left = shared.groupBy("rep").agg(F.count("*").alias("m")).join(rest, "rep").select("rep", "n", "comp", (F.col("m") + 1 - least).alias("left")).where("left > 0")
+    discard(grams)
+    enough = (F.col("left") * 100 >= F.col("n") * percent).alias("enough")  # for the smallest partner
+    sizes = shared.groupBy("rep").agg(F.count("*").alias("left")).join(rest, "rep").where(enough).select("rep", "n", "comp", "left")
     order = F.row_number().over(W.partitionBy("rep").orderBy("c", "h"))  # of one text's own shingles
-    prefix = shared.join(left, "rep").withColumn("at", order).where(F.col("at") <= F.col("left")).select("h", "rep", "n", "comp")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    met = x.join(y, F.expr("x.h = y.h and x.rep < y.rep and x.comp <> y.comp")).where(_near_sizes(F.col("x.n"), F.col("y.n"), percent))
-    return met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    prefix = shared.join(sizes, "rep").withColumn("left", F.col("left") + 1 - order).where(enough).select("h", "rep", "n", "comp", "left")
+    prefix = materialize(prefix, "prefix")
+    discard(shared, rest)
+    short = prefix.where(F.col("left") * (100 + percent) >= F.col("n") * (2 * percent))  # for partners as large or larger
+    larger = F.expr("x.h = y.h and x.comp <> y.comp and (x.n > y.n or x.n = y.n and x.rep > y.rep)")
+    met = larger & (F.least("x.left", "y.left") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent) & _near_sizes(F.col("x.n"), F.col("y.n"), percent)
+    pairs = prefix.alias("x").join(short.alias("y"), met)
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
-def _leader_pairs(rows: DataFrame, best: DataFrame | None, percent: int) -> DataFrame:
+def _leader_pairs(rows: DataFrame, checked: list[DataFrame], percent: int) -> DataFrame:
     """(a, b), a < b: each bucket's leader with the members of other components.
 
     The first leader is the member with the smallest hash, the same one in all buckets of a group. Later ones are the members
     nearest to the text they were compared with.
     """
-    if best is None:
+    if not checked:
         order = F.struct(F.xxhash64("rep", F.lit(11)).alias("o"), "rep", "n", "comp")
     else:
-        rows = rows.join(best.groupBy("rep").agg(F.max("jac").alias("jac"), F.count("*").alias("times")), "rep", "left")
+        ends = [c.select(F.col(end).alias("rep"), "jac") for c in checked for end in ("a", "b")]
+        rows = rows.join(reduce(DataFrame.unionByName, ends).groupBy("rep").agg(F.max("jac").alias("jac"), F.count("*").alias("times")), "rep", "left")
         # an earlier leader of a large bucket was in many pairs: it comes after the members that it was compared with
         order = F.struct((F.coalesce("times", F.lit(0)) > 8).alias("was"), (-F.coalesce("jac", F.lit(0.0))).alias("o"), F.xxhash64("rep", F.lit(12)).alias("h"), "rep", "n", "comp")
     lead = rows.groupBy("tk").agg(F.min(order).alias("lead"), F.count("*").alias("c")).where("c > 1").select("tk", "lead")
