@@ -26,11 +26,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialize
+from .common import broadcast_if_small, discard, materialize
 from .components import components
 from .hashing import mix, shingle_sets
 
 ROWS, HALVES, ROUNDS = 3, 10, 2
+#: A broadcast side has at most so many ids (about 30 bytes each in memory); above that the join is shuffled.
+MAX_BROADCAST_IDS = 500_000
 _rng = np.random.Generator(np.random.PCG64(977))
 _XOR = _rng.integers(1, 2**64, 4096, dtype=np.uint64)
 _ODD = _rng.integers(1, 2**64, 4096, dtype=np.uint64) | np.uint64(1)
@@ -70,8 +72,12 @@ def sketches(docs: DataFrame, k: int, rows: int, halves: int) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with their similarity on full sets and whether they are linked; each text is shuffled once a pair."""
+    """Pairs (a, b) with their similarity on full sets and whether they are linked; each text is shuffled once a pair.
+
+    Texts of no pair are left out before the shuffle as long as the ids to keep are few enough to broadcast.
+    """
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ids = broadcast_if_small(ids, MAX_BROADCAST_IDS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
@@ -176,7 +182,7 @@ def _prefix_pairs(docs: DataFrame, rest: DataFrame, k: int, percent: int) -> Dat
     prefix and larger sets with a shorter one, and each pair only from its larger side.
     """
     rest = materialize(rest, "rest")
-    ids = rest.select(F.col("rep").alias("doc_id"))
+    ids = broadcast_if_small(rest.select(F.col("rep").alias("doc_id")), MAX_BROADCAST_IDS)
 
     def run(batches):
         for batch in batches:
