@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, shuffles_dropped
 from .hashing import slices
 
 MAGIC, HEAD, BLOCK = b"S8BC", struct.Struct("<4sIQIQ"), 128
@@ -244,7 +244,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, file_byte
 
     tie = F.xxhash64("text")
     dealt = docs.withColumn("tie", tie).repartitionByRange(max(1, -(-size // file_bytes)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    dealt.mapInArrow(run, "chunk binary").select(F.col("chunk").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    with shuffles_dropped(docs.sparkSession):
+        dealt.mapInArrow(run, "chunk binary").select(F.col("chunk").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 
 def read(spark, path: str) -> DataFrame:
