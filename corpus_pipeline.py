@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlink.llm import decontaminate, language_id, mixing, near_dup, token_files
-from spanlink.llm.common import materialize, table
+from spanlink.llm.common import discard, materialize, table
 
 #: No SQL: Kneser-Ney scores, MinHash candidates and hash orders have no SQL form.
 ORACLE_SQL = None
@@ -26,6 +26,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each near-duplicate group; rows without a doc_id stay."""
     groups = near_dup.near_duplicates(docs, k=5, percent=80)
     gone = materialize(groups.where("not kept").select("doc_id"), "duplicates")
+    discard(groups)
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return left
