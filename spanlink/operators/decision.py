@@ -69,7 +69,7 @@ def _count_udf(extra_miss: float, beta: float, floor: float, gated: bool):
     return run
 
 
-def expected_f_select(df: DataFrame, score: str = "score", beta: float = 0.5, k_max: int = 10, extra_miss: float = 0.0, floor: float = 1e-3, existence: DataFrame | None = None) -> DataFrame:
+def expected_f_select(df: DataFrame, score: str = "score", beta: float = 0.5, k_max: int = 25, extra_miss: float = 0.0, floor: float = 1e-3, existence: DataFrame | None = None) -> DataFrame:
     """Adds selected: the query's first k rows (score descending, target ascending), k for the largest expected F.
 
     Each query sends its k_max best scores through one Arrow UDF. existence (q, existence) turns on the gated form.
@@ -81,7 +81,7 @@ def expected_f_select(df: DataFrame, score: str = "score", beta: float = 0.5, k_
     return ranked.join(counts, "q").withColumn("selected", F.col("__n") <= F.col("__k")).drop("__n", "__k")
 
 
-def decode_pairs(df: DataFrame, strategy: str = "expected_f_exclusive", threshold: float = 0.5, beta: float = 0.5, k_max: int = 10, extra_miss: float = 0.0, existence: DataFrame | None = None) -> DataFrame:
+def decode_pairs(df: DataFrame, strategy: str = "expected_f_exclusive", threshold: float = 0.5, beta: float = 0.5, k_max: int = 25, extra_miss: float = 0.0, existence: DataFrame | None = None) -> DataFrame:
     """Scored pairs with selected; scores are clipped to [0, 1], and losers of exclusivity count as 0 before expected-F decoding."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")

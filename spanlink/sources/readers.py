@@ -112,7 +112,7 @@ def smoke_records(spark: SparkSession, n: int = 12) -> tuple[DataFrame, DataFram
 
 DEFAULTS = {
     "paths": {"data": "data", "out": "out"}, "validation": {"folds": 5, "seed": 42}, "retrieval": {"top_k": 120, "final_cap": 250, "rrf_k": 60},
-    "decoder": {"strategy": "expected_f_exclusive", "beta": 0.5, "k_max": 10, "threshold": 0.5, "extra_miss": 0.0},
+    "decoder": {"strategy": "expected_f_exclusive", "beta": 0.5, "k_max": 25, "threshold": 0.5, "extra_miss": 0.0},
 }
 STRATEGIES = ("threshold", "threshold_exclusive", "expected_f", "expected_f_exclusive", "pi_exclusive")
 

@@ -81,6 +81,16 @@ def test_exclusivity_and_expected_f(spark):
     assert decision.decode_pairs(df, "pi_exclusive", existence=exists).where("selected").count() >= 1
 
 
+def test_decoder_takes_more_than_ten(spark):
+    df = spark.createDataFrame([("q", f"t{i:02}", 0.99) for i in range(30)], "q string, t string, score double")
+    exists = spark.createDataFrame([("q", 1.0)], "q string, existence double")
+    for strategy in ("expected_f", "expected_f_exclusive", "pi_exclusive"):
+        chosen = decision.decode_pairs(df, strategy, existence=exists).where("selected")
+        assert values(chosen, "t") == [(f"t{i:02}",) for i in range(25)]
+    assert decision.expected_f_select(df).where("selected").count() == 25
+    assert readers.load_settings().get("decoder.k_max") == 25
+
+
 def test_best_count_against_enumeration():
     rng = np.random.default_rng(2)
     for _ in range(20):
