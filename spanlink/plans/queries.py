@@ -13,6 +13,9 @@ from ..sources import readers, sinks
 from ..streaming.incremental import windowed_counts
 from . import workflow
 
+#: The reference's caps: blocking and prefilter of its baseline settings, retrieval of its production settings.
+BLOCK_LIMIT, PREFILTER_K, TOP_K, FINAL_CAP = 100, 30, 120, 250
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -172,7 +175,7 @@ def block_candidates(spark, d):
 def prefilter_top_k(spark, d):
     q, t = (X.prepare(x) for x in sides(spark, d))
     index = blocking.build_index(t, check=False)
-    return blocking.prefilter(blocking.block_candidates(q, index, 20), q, t, 5)
+    return blocking.prefilter(blocking.block_candidates(q, index, BLOCK_LIMIT), q, t, PREFILTER_K)
 
 
 @query("""WITH w AS (SELECT item_id AS id, unnest(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ')) AS w FROM benchmark), p AS (SELECT id, ' ' || w || ' ' AS w FROM w),
@@ -363,14 +366,14 @@ def pair_features(spark, d):
 @query()
 def lexical_features(spark, d):
     q, t = (X.prepare(x) for x in sides(spark, d))
-    pairs = blocking.block_candidates(q, blocking.build_index(t, check=False), 5)
+    pairs = blocking.block_candidates(q, blocking.build_index(t, check=False), BLOCK_LIMIT)
     return features.lexical_features(pairs, q, t)
 
 
 @query()
 def generated_candidates(spark, d):
     q, t = (X.normalize_records(x) for x in sides(spark, d))
-    return workflow.generate_candidates(q, t, 10, 20, low=3, high=3).select("q", "t", "fused_score", "fused_rank", "source_count")
+    return workflow.generate_candidates(q, t, TOP_K, FINAL_CAP).select("q", "t", "fused_score", "fused_rank", "source_count")
 
 
 @query("SELECT count(*) AS rows, count(DISTINCT doc_id) AS keys, count(*) FILTER (trim(text) = '') AS text_blank, count(*) FILTER (regexp_matches(text, '[^\\x00-\\x7F]')) AS text_non_ascii, max(length(text))::INT AS text_longest FROM documents")

@@ -153,6 +153,19 @@ def test_blocking_caps(spark):
         blocking.build_index(targets.unionByName(targets))
 
 
+def test_registered_caps(spark, tmp_path):
+    from spanlink.plans.queries import QUERIES
+
+    # S1-0 and 130 targets of its name; S1-198 and two targets that share only the 2-gram " y" with it
+    rows = [(k, "xo alpha", "Brand#1", "tin", k) for k in range(196) if not k or k % 3] + [(k, "yp", "Kiln", "Zinc", 7) for k in (196, 197)] + [(198, "yq", "Loom", "Opal", 5)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    names = ("lexical_features", "prefilter_top_k", "generated_candidates")
+    lexical, prefiltered, generated = ({(r["q"], r["t"]) for r in QUERIES[n](spark, str(tmp_path)).select("q", "t").collect()} for n in names)
+    of = lambda pairs, q: {t for x, t in pairs if x == q}
+    assert len(of(lexical, "S1-0")) == 100 and 30 <= len(of(prefiltered, "S1-0")) <= 90
+    assert len(of(generated, "S1-0")) == 130 and {"S2-196", "S3-197"} <= of(generated, "S1-198")
+
+
 def test_exact_candidates_drop_large_blocks(spark):
     q = spark.createDataFrame([("q", "a", "z")], "q string, name string, address string")
     t = spark.createDataFrame([(f"t{i}", "a", "z" if i == 2 else "") for i in range(3)], "t string, name string, address string")
