@@ -11,8 +11,8 @@ plus `slack` nats), each only where the caller asks for it.
 
 Training uses a bounded sample: SAMPLE_DOCS texts of each language, those with the smallest hashes of doc_id.
 
-Inputs: null and letterless texts are und with score 0; rows without text or lang are no examples; with no example at all
-every text is und; rows that repeat a doc_id are each predicted; other columns are ignored.
+Inputs: null and letterless texts are und with score 0; rows with a blank text or without lang are no examples; with no example at
+all every text is und; rows that repeat a doc_id are each predicted; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .. import ship
 
 ORDER = 4
-SAMPLE_DOCS = 250
+SAMPLE_DOCS = 400
+#: A language of fewer texts counts all of them.
+HOLD_FROM = 20
 CACHE_WORDS = 80_000
 _LETTER = regex.compile(r"\p{L}")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -213,15 +215,15 @@ def calibrate(model: Model, texts: list[str], langs: list[str], slack: float = 1
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, order: int = ORDER) -> Model:
-    """A model of at most sample_docs texts a language; one in five of them only calibrates."""
-    known = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang", F.xxhash64(F.col("doc_id"), F.lit(3)).alias("o"))
+    """A model of about sample_docs texts a language; one in five of them only calibrates, in languages of HOLD_FROM texts or more."""
+    known = docs.where(F.col("text").rlike(r"(?U)\S") & F.col("lang").isNotNull()).select("doc_id", "text", "lang", F.xxhash64(F.col("doc_id"), F.lit(3)).alias("o"))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not sizes:
         return Model([], [], [], [])
     # a hash threshold picks about the wanted number in each language, with no sort of a whole language
     part = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample_docs / n)))])[F.col("lang")]
     chosen = known.where((F.pmod("o", F.lit(1 << 30)) / float(1 << 30)) < part)
-    held = F.pmod(F.xxhash64("o"), F.lit(5)) == 0
+    held = (F.pmod(F.xxhash64("o"), F.lit(5)) == 0) & F.col("lang").isin([lang for lang, n in sizes.items() if n >= HOLD_FROM])
     words = chosen.where(~held).select("lang", F.explode(F.split(F.lower("text"), r"(?U)\s+")).alias("w")).where("w <> ''").groupBy("lang", "w").count()
     counts: dict[str, Counter] = {lang: Counter() for lang in sizes}
     for r in words.toLocalIterator():  # the words of the sample

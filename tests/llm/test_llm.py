@@ -185,6 +185,13 @@ def test_language_id(spark):
         assert np.isfinite(model.word_costs(words)).all()
 
 
+def test_language_id_keeps_rare_languages(spark):
+    rows = [(i, f"{chr(97 + i % 26) * 3}{chr(97 + i // 26)} words", f"l{i:02}") for i in range(40)] + [(100 + i, " ", "l00") for i in range(40)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == [f"l{i:02}" for i in range(40)]
+    assert language_id.SAMPLE_DOCS == 400
+
+
 def test_quality_net(spark):
     d, labels = docs(spark), spark.read.parquet(f"{SF}/labels.parquet")
     net = quality_net.train(d, labels)
