@@ -9,9 +9,11 @@ The model is trained on labelled pages: LABELLED_PAGES pages made from a seed by
 element names and sloppy markup (unclosed p, li and b, stray ends, comments, scripts with markup inside).
 
 Text: character references are decoded once, white space inside a block becomes one space, blocks are trimmed, empty ones
-go, and the rest are joined by line feeds in page order. Scripts, styles, templates and comments never give text.
+go, and the rest are joined by line feeds in page order. Scripts, styles, templates, comments, form
+controls, frames, drawings (svg, canvas) and annotations of formulas never give text; formulas and an object's fallback do.
 
-Inputs: null, empty and textless pages give the empty text; unfinished tags end with the page; rows that repeat a page_id are
+Inputs: null, empty and textless pages give the empty text; unfinished tags end with the page, and so
+do scripts, styles, titles and textareas without an end, while other elements without one hide nothing; rows that repeat a page_id are
 each extracted; other columns are ignored.
 """
 
@@ -21,7 +23,7 @@ import html
 import random
 import re
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 LABELLED_PAGES, SEED, THRESHOLD = 400, 5, 0.5
 #: Tag sets of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select button object canvas".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select button canvas annotation annotation-xml".split())
+#: Those of RAW that hide the rest of the page where their end is missing.
+TO_END = frozenset("script style textarea title".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - frozenset("option legend caption body html td th tr tbody thead tfoot".split())
@@ -70,6 +74,7 @@ def parse(page: str) -> Tree:
     tree = Tree(["html"], [""], [""], [-1], [])
     tags, parent, pieces = tree.tags, tree.parent, tree.pieces
     stack, at, n = [0], 0, len(page)
+    endless: set[str] = set()  # of which no end follows
 
     def pop(i: int) -> None:
         pieces.append((stack[i - 1] if i else 0, None)) if any(tags[j] in BLOCK for j in stack[i:]) else None
@@ -107,8 +112,11 @@ def parse(page: str) -> Tree:
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at) if tag not in endless else None
+                if end or tag in TO_END:
+                    at = end.end() if end else n
+                else:
+                    endless.add(tag)
             continue
         if tag in CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
@@ -144,13 +152,15 @@ def parse(page: str) -> Tree:
     return tree
 
 
-@cache
 def _named(tag: str, name: str, role: str) -> tuple[int, ...]:
     hints = tuple(len(TAGS) + 1 + i for i, h in enumerate(_HINTS) if h.search(name) or role and h.search(role)) if name or role else ()
     hidden = (N_FEATURES - 6,) if role == "hidden" else ()
     return (_TAG_NO.get(tag, len(TAGS)), *hints, *hidden)
 
 
+_short_named = lru_cache(20_000)(_named)
+
+
 def node_features(tree: Tree) -> np.ndarray:
     n = len(tree.tags)
     chars, linked, words = [0] * n, [0] * n, [0] * n
@@ -169,7 +179,8 @@ def node_features(tree: Tree) -> np.ndarray:
         linked[p] += chars[i] if tree.tags[i] == "a" else linked[i]
     x = np.zeros((n, N_FEATURES), np.float32)
     for i in range(n):
-        x[i, _named(tree.tags[i], tree.names[i][:200], tree.roles[i])] = 1
+        named = _short_named if len(tree.names[i]) + len(tree.roles[i]) <= 400 else _named
+        x[i, named(tree.tags[i], tree.names[i], tree.roles[i])] = 1
     c = np.array(chars, np.float32)
     x[:, -5] = np.array(linked, np.float32) / np.maximum(c, 1)
     x[:, -3] = (np.array(words, np.float32) > 40) & ~np.isin(np.array(tree.tags), _TEXTUAL)

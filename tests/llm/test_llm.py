@@ -218,6 +218,16 @@ def test_html_text(spark):
     assert html_text.extract_pages(rows.limit(0), model).count() == 0
 
 
+def test_html_keeps_formulas_unclosed_elements_and_late_names():
+    text = lambda page: "".join(t or "" for _, t in html_text.parse(page).pieces)
+    assert text("<p>a<math><mi>x</mi><annotation>\\\\x</annotation></math>b<object data=f>fall<b>back</b></object>c") == "axbfallbackc"
+    assert text("<p>a<button>Go<p>b<svg><p>c<canvas><p>d") == "aGobcd" and text("<p>a<button>Go</button>b<svg>t</svg>") == "ab"
+    assert text("<p>a<script>x<p>b") == "a"
+    long = " ".join(f"u-{i}" for i in range(300))
+    at = len(html_text.TAGS) + 1 + [n for n, _ in html_text.NAME_HINTS].index("side")
+    assert html_text.node_features(html_text.parse(f"<div class='{long} sidebar'>x</div>"))[1, at] == 1
+
+
 def test_messages_against_enumeration():
     rng = np.random.default_rng(5)
     tree = html_text.parse("<div><p>a<b>c</b></p><ul><li>d</li></ul></div>")
