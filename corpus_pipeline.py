@@ -13,6 +13,8 @@ from spanlink.llm.common import discard, materialize, table
 ORACLE_SQL = None
 #: A text in no learned language goes; a clean text that mixes two of four languages has a confidence of a half.
 MIN_CONFIDENCE = 0.3
+#: Near-duplicates: linked at so many percent; with so many halves, two texts at that similarity meet with probability 0.9999.
+PERCENT, HALVES = 80, 14
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each near-duplicate group; rows without a doc_id stay."""
-    groups = near_dup.near_duplicates(docs, k=5, percent=80)
+    groups = near_dup.near_duplicates(docs, k=5, percent=PERCENT, halves=HALVES)
     gone = materialize(groups.where("not kept").select("doc_id"), "duplicates")
     discard(groups)
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

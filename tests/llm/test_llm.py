@@ -165,6 +165,20 @@ def test_warc(spark):
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pipeline_near_dedup_recall(spark, monkeypatch):
+    import corpus_pipeline
+
+    seen, real = {}, near_dup.near_duplicates
+    monkeypatch.setattr(near_dup, "near_duplicates", lambda docs, **options: seen.update(options) or real(docs, **options))
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(1, " ".join(words), "en", "a", 0), (2, " ".join(words[:40] + ["x"] + words[40:]), "en", "a", 0), (3, "an other text of seven words here", "en", "a", 0)]
+    left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), SF)
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 3]
+    s, halves, per = seen["percent"] / 100, seen.get("halves", near_dup.HALVES), seen.get("rows", near_dup.ROWS)
+    assert (1 - (1 - s**per) ** halves) ** 2 > 0.9999
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for k in (0, 1, 2, 5, 9):
