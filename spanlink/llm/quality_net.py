@@ -1,7 +1,7 @@
 """A byte-level convolutional quality classifier in numpy.
 
-A text is its UTF-8 bytes. Each byte is embedded; filters of WIDTH bytes slide with stride STRIDE over chunks of CHUNK bytes
-that overlap by WIDTH, so every window of the whole text is seen. A chunk's features are each filter's largest and mean
+A text is its UTF-8 bytes. Each byte is embedded; filters of WIDTH bytes slide byte by byte (STRIDE 1) over the text, whose
+windows are dealt to chunks by the CHUNK bytes in which they begin, so every window of the whole text is seen. A chunk's features are each filter's largest and mean
 activation; a text's features are the mean over its chunks of both and the largest over its chunks, and a logistic layer
 combines them, two repetition shares (8-byte contexts seen before in the same chunk) and the length into one probability.
 All weights are learned by Adam on a bounded sample of
@@ -26,7 +26,9 @@ from .hashing import slices, text_buffer
 SAMPLE_ROWS = 1600
 #: Training texts longer than this are not chosen for the sample; scoring has no such bound.
 SAMPLE_BYTES = 12_000
-DIM, WIDTH, STRIDE, FILTERS, CHUNK = 4, 8, 4, 16, 512
+DIM, WIDTH, STRIDE, FILTERS, CHUNK = 4, 8, 1, 16, 512
+#: Chunks that are evaluated at once in scoring.
+AT_ONCE = 32
 
 
 @dataclass
@@ -69,14 +71,18 @@ def repeats(body: np.ndarray) -> tuple[float, float]:
 
 def features(net: Net, body: np.ndarray, with_grad: bool = False):
     """(mean of maxima, mean of means, largest) of each filter over chunks, repetition and length."""
-    windows = _planes(body)
-    x = net.embed[windows].reshape(len(windows), WIDTH * DIM)
-    act = np.maximum(x @ net.conv + net.bias, 0)
-    per = CHUNK // STRIDE
-    cuts = np.arange(0, len(act), per)
-    high = np.maximum.reduceat(act, cuts, axis=0)
-    top = high.max(axis=0)
-    row = np.concatenate([high.mean(axis=0), act.mean(axis=0), top])
+    windows, per = _planes(body), CHUNK // STRIDE
+    highs, total = [], np.zeros(FILTERS)
+    size = len(windows) if with_grad else per * AT_ONCE  # bounds the memory of a long text
+    for at in range(0, len(windows), size):
+        part = windows[at : at + size]
+        x = net.embed[part].reshape(len(part), WIDTH * DIM)
+        act = np.maximum(x @ net.conv + net.bias, 0)
+        cuts = np.arange(0, len(act), per)
+        highs.append(np.maximum.reduceat(act, cuts, axis=0))
+        total += act.sum(axis=0)
+    high = np.concatenate(highs)
+    row = np.concatenate([high.mean(axis=0), (total / len(windows)).astype(np.float32), high.max(axis=0)])
     return (row, windows, x, act, cuts, high) if with_grad else row
 
 

@@ -217,6 +217,17 @@ def test_quality_net(spark):
     assert quality_net.fit([], []).constant == 0.5
 
 
+def test_quality_net_sees_every_window():
+    rng = np.random.default_rng(8)
+    net = quality_net.Net(np.eye(256, 4, dtype=np.float32), rng.normal(size=(32, 16)).astype(np.float32), np.zeros(16, np.float32), np.zeros(51, np.float32), 0.0)
+    net.embed[ord("!")] = 9
+    for n in (40, 20_000):  # a pattern gives the same largest activations at any offset
+        body = lambda at: np.frombuffer(b" " * at + b"!" + b" " * (n - at - 1), np.uint8)  # noqa: E731, B023
+        tops = [quality_net.features(net, body(at))[32:] for at in range(10, 18)]
+        assert np.allclose(tops, tops[0])
+        assert np.allclose(quality_net.features(net, body(10)), quality_net.features(net, body(10), True)[0], rtol=1e-3)
+
+
 def test_html_text(spark):
     model = html_text.train()
     page = "<html><body><nav><a href=/>Home</a></nav><article><h1>A &amp;amp; B</h1><p>First  <b>line\n here<p>Second<script>var x='<p>no</p>'</script></article><footer>&copy; x</footer>"
