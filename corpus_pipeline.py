@@ -25,7 +25,10 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each near-duplicate group; rows without a doc_id stay."""
+    """The document of smallest doc_id of each near-duplicate group; rows without a doc_id stay.
+
+    Of rows that share a doc_id one stays, that of the smallest text: the others' texts are neither compared nor kept, clean or not.
+    """
     groups = near_dup.near_duplicates(docs, k=5, percent=PERCENT, halves=HALVES)
     gone = materialize(groups.where("not kept").select("doc_id"), "duplicates")
     discard(groups)
