@@ -1,20 +1,25 @@
 """Main-text extraction with a tree-structured graphical model of the DOM.
 
 Every element of a page is a node with a hidden label, content or boilerplate. Node potentials come from a logistic model of
-the element's own features (tag, class and id words, link density, text length); pair potentials from counts of (parent
-label, child label) by the child's kind of tag. Sum-product message passing, leaves to root and back, yields each node's
-content marginal; blocks of text under nodes whose marginal reaches THRESHOLD are the main text.
+what is seen of the element (tag, class and id words, what encloses it, link density, its share of the page's text); pair
+potentials from counts of (parent label, child label) by the child's kind of tag. Sum-product message passing, leaves to
+root and back, yields each node's content marginal; blocks of text under nodes whose marginal reaches THRESHOLD are the main
+text.
 
 The model is trained on labelled pages: LABELLED_PAGES pages made from a seed by `labelled_pages`, which mixes layouts,
-element names and sloppy markup (unclosed p, li and b, stray ends, comments, scripts with markup inside).
+element names, long and very short articles, pages without an article element or without any element, and sloppy markup
+(unclosed p, li and b, stray ends, quotes in unquoted values, comments, scripts with markup inside).
 
 Text: character references are decoded once, white space inside a block becomes one space, blocks are trimmed, empty ones
 go, and the rest are joined by line feeds in page order. Scripts, styles, templates, comments, form
 controls, frames, drawings (svg, canvas) and annotations of formulas never give text; formulas and an object's fallback do.
 
+Tags and attributes are read as browsers read them: a quote opens a value only right behind the equals sign. Elements nested
+deeper than MAX_DEPTH become children of the element at that depth, so a page takes time in proportion to its length.
+
 Inputs: null, empty and textless pages give the empty text; unfinished tags end with the page, and so
 do scripts, styles, titles and textareas without an end, while other elements without one hide nothing; rows that repeat a page_id are
-each extracted; other columns are ignored.
+each extracted; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LABELLED_PAGES, SEED, THRESHOLD = 400, 5, 0.5
+from .common import lean
+
+LABELLED_PAGES, SEED, THRESHOLD = 600, 5, 0.5
+MAX_DEPTH = 512
 #: Tag sets of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg select button canvas annotation annotation-xml".split())
@@ -41,25 +49,37 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - frozenset("option legend caption body html td th tr tbody thead tfoot".split())
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",)}
-#: Parts of class and id names that tell what an element is.
+#: Parts of class and id names that tell what an element is; all but the last two tell boilerplate.
 NAME_HINTS = (
-    ("ad", r"(^|[-_ ])(ads?|advert\w*|sponsor\w*|promo\w*|banner|adslot|dfp)([-_ ]|$)"), ("nav", r"nav|menu|breadcrumb|pagination|pager|toc|tabs|skip|crumbs"), ("side", r"side|aside|widget|related|recommend|trending|popular|rail|more-"),
-    ("foot", r"foot|copyright|legal|colophon|credits"), ("head", r"(^|[-_ ])(header|masthead|topbar|site-head|branding|logo)([-_ ]|$)"), ("comment", r"comment|disqus|reply|replies|respon[sd]|discussion|feedback|reader"),
-    ("notice", r"cookie|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|paywall|signup|toast|warning|message"), ("share", r"share|social|follow|tags?([-_ ]|$)|meta([-_ ]|$)|byline|author|tool"), ("content", r"content|article|post|entry|story|main|body|text"),
+    ("ad", r"(?:^|[-_ ])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|adslot|dfp)(?:[-_ ]|$)"),
+    ("nav", r"(?:^|[-_ ])(?:\w*nav\w*|menu\w*|breadcrumbs?|crumbs?|pagination|pager|toc|tabs?|skip\w*)(?:[-_ ]|$)"),
+    ("side", r"(?:^|[-_ ])(?:side|sidebar\w*|aside|widgets?|related|recommend\w*|trending|popular|rail|more)(?:[-_ ]|$)"),
+    ("foot", r"(?:^|[-_ ])(?:\w*footer|copyright|legal|colophon|credits)(?:[-_ ]|$)"),
+    ("head", r"(?:^|[-_ ])(?:header|masthead|topbar|branding|logo)(?:[-_ ]|$)"),
+    ("comment", r"(?:^|[-_ ])(?:comment\w*|disqus|reply|replies|respon[sd]\w*|discussion|feedback|readers?)(?:[-_ ]|$)"),
+    ("notice", r"(?:^|[-_ ])(?:cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|paywall|signup|toast|warning|message)(?:[-_ ]|$)"),
+    ("share", r"(?:^|[-_ ])(?:shar(?:e|ing)\w*|social|follow|tags?|toolbar|tools)(?:[-_ ]|$)"),
+    ("content", r"(?:^|[-_ ])(?:\w*content|articles?|posts?|entry|story|main|text)(?:[-_ ]|$)"),
+    ("credit", r"(?:^|[-_ ])(?:byline|author|dateline|meta|time|caption)(?:[-_ ]|$)"),
 )
 _HINTS = [re.compile(p) for _, p in NAME_HINTS]
+N_BOILER = len(NAME_HINTS) - 2
 TAGS = ("div", "p", "article", "main", "section", "nav", "aside", "header", "footer", "form", "ul", "ol", "li", "h1", "h2", "h3", "table", "td", "blockquote", "pre", "figure", "figcaption", "a", "b", "span", "body", "html", "address", "dialog", "dl", "details")
 _TAG_NO = {t: i for i, t in enumerate(TAGS)}
-N_FEATURES = len(TAGS) + 1 + len(NAME_HINTS) + 6
-_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
+#: Roles of elements, and what they are like.
+ROLES = {"navigation": "nav", "complementary": "aside", "contentinfo": "footer", "banner": "header", "search": "form", "form": "form", "dialog": "dialog", "alertdialog": "dialog", "alert": "dialog", "menu": "nav", "menubar": "nav", "main": "main", "article": "article"}
+#: Elements that are boilerplate, with all that they hold.
+OUTSIDE = frozenset("nav aside footer form dialog".split())
+#: Features of a node besides its tag and the hints of its own names.
+MORE = ("hidden", "in outside", "in header", "in hinted", "in article", "article elsewhere", "holds article", "linked", "linked list", "mostly linked", "in links", "words > 5", "words > 40", "share", "share > half", "bare", "bare page", "has text", "one")
+_AT = {n: len(TAGS) + 1 + len(NAME_HINTS) + i for i, n in enumerate(MORE)}
+N_FEATURES = len(TAGS) + 1 + len(NAME_HINTS) + len(MORE)
+_VALUE = r"""=\s*"[^"]*(?:"|$)|=\s*'[^']*(?:'|$)|=\s*[^\s"'>][^\s>]*"""
+_MARKUP = re.compile(rf"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?>(?>{_VALUE}|[^>=]+|=)*))(?:>|$)""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)(?:"|$)|'([^']*)(?:'|$)|([^\s>]*)))?""")
 _WHITE = re.compile(r"\s+")
 
 
-#: Blocks of running text: a short one is no sign of boilerplate, and many of them would outvote their parent.
-_TEXTUAL = np.array(["p", "li", "td", "pre", "dd", "dt", "b", "blockquote"])
-
-
 @dataclass
 class Tree:
     tags: list[str]
@@ -75,10 +95,16 @@ def parse(page: str) -> Tree:
     tags, parent, pieces = tree.tags, tree.parent, tree.pieces
     stack, at, n = [0], 0, len(page)
     endless: set[str] = set()  # of which no end follows
+    held: dict[str, int] = {}  # open elements by tag
 
     def pop(i: int) -> None:
-        pieces.append((stack[i - 1] if i else 0, None)) if any(tags[j] in BLOCK for j in stack[i:]) else None
+        block = False
+        for j in stack[i:]:
+            held[tags[j]] -= 1
+            block = block or tags[j] in BLOCK
         del stack[i:]
+        if block:
+            pieces.append((stack[-1], None))
 
     while at < n:
         m = _MARKUP.search(page, at)
@@ -94,6 +120,10 @@ def parse(page: str) -> Tree:
             continue
         tag = m[2].lower()
         if m[1]:
+            if not held.get(tag):
+                if tag == "p":  # a stray end of a paragraph is an empty one
+                    pieces.append((stack[-1], None))
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if tags[stack[i]] == tag:
                     pop(i)
@@ -118,7 +148,7 @@ def parse(page: str) -> Tree:
                 else:
                     endless.add(tag)
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and held.get("p"):
             for i in range(len(stack) - 1, 0, -1):
                 if tags[stack[i]] == "p":
                     pop(i)
@@ -132,60 +162,138 @@ def parse(page: str) -> Tree:
                 if tags[stack[i]] in SELF_CLOSING[tag]:
                     pop(i)
                     break
-        attributes, role, name = m[3], "", ""
-        if attributes:
-            for a in _ATTRIBUTE.finditer(attributes):
-                key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
-                if key in ("class", "id"):
-                    name += " " + value
-                elif key == "role":
-                    role = value
-                elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-                    role = "hidden"
-        tree.names.append(name.strip())
+        name, role = _names(m[3]) if m[3] else ("", "")
+        while len(stack) > MAX_DEPTH:
+            pop(len(stack) - 1)
+        tree.names.append(name)
         tree.roles.append(role)
         tags.append(tag)
         parent.append(stack[-1])
         stack.append(len(tags) - 1)
+        held[tag] = held.get(tag, 0) + 1
         if tag in BLOCK:
             pieces.append((stack[-1], None))
     return tree
 
 
-def _named(tag: str, name: str, role: str) -> tuple[int, ...]:
-    hints = tuple(len(TAGS) + 1 + i for i, h in enumerate(_HINTS) if h.search(name) or role and h.search(role)) if name or role else ()
-    hidden = (N_FEATURES - 6,) if role == "hidden" else ()
-    return (_TAG_NO.get(tag, len(TAGS)), *hints, *hidden)
+def _names(attributes: str) -> tuple[str, str]:
+    """Class and id words of a tag, and its role; hidden elements have the role hidden."""
+    name, role = "", ""
+    for a in _ATTRIBUTE.finditer(attributes):
+        key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
+        if key in ("class", "id"):
+            name += " " + value
+        elif key == "role" and role != "hidden":
+            role = value.strip()
+        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
+            role = "hidden"
+    return _WHITE.sub(" ", name).strip(), role
+
+
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+
+
+def _hinted(names: str) -> tuple[int, ...]:
+    return tuple(i for i, h in enumerate(_HINTS) if h.search(names))
 
 
-_short_named = lru_cache(20_000)(_named)
+_short_hinted = lru_cache(20_000)(_hinted)
+
+
+_COMMENT = [name for name, _ in NAME_HINTS].index("comment")
+
+
+def _large(tree: Tree, like: list[str]) -> list[bool]:
+    """Elements around more than half of the text of the page's articles: no name makes these boilerplate."""
+    n, parent = len(tree.tags), tree.parent
+    within, chars = [False] * n, [0] * n
+    for i in range(1, n):
+        within[i] = within[parent[i]] or (like[i] in ("article", "main") and "comment" not in tree.names[i])
+    for node, text in tree.pieces:
+        if text and within[node]:
+            chars[node] += len(text)
+    for i in range(n - 1, 0, -1):
+        chars[parent[i]] += chars[i]
+    return [2 * c > chars[0] and not w for c, w in zip(chars, within, strict=True)]
 
 
 def node_features(tree: Tree) -> np.ndarray:
-    n = len(tree.tags)
-    chars, linked, words = [0] * n, [0] * n, [0] * n
+    n, tags, parent = len(tree.tags), tree.tags, tree.parent
+    like = [ROLES.get(r, t) if r else t for t, r in zip(tags, tree.roles, strict=True)]
+    columns: list[tuple[int, int]] = []
+    put = lambda i, what: columns.append((i, _AT[what]))
+    outside, inside, holds, large = [False] * n, [False] * n, [False] * n, _large(tree, like)
+    for i in range(n):
+        p, tag = parent[i], like[i]
+        columns.append((i, _TAG_NO.get(tag, len(TAGS))))
+        names = tree.names[i] if tag not in ("html", "body") else ""
+        hints = (_short_hinted if len(names) <= 400 else _hinted)(names) if names else ()
+        columns += [(i, len(TAGS) + 1 + h) for h in hints]
+        content = N_BOILER in hints and not any(h < N_BOILER for h in hints)
+        boiler = bool(hints) and hints[0] < N_BOILER and (tag not in ("article", "main") or _COMMENT in hints) and not large[i]
+        hidden = tree.roles[i] == "hidden"
+        if hidden:
+            put(i, "hidden")
+        in_header = tag == "header" and not inside[p] if i else False
+        if in_header:
+            put(i, "in header")
+        if boiler:
+            put(i, "in hinted")
+        outside[i] = (i > 0 and outside[p]) or (tag in OUTSIDE and not (tag == "form" and large[i])) or hidden or in_header or boiler
+        inside[i] = (i > 0 and inside[p]) or (not outside[i] and (tag in ("article", "main") or content))
+        if inside[i]:
+            put(i, "in article")
+            if i and not holds[p] and not inside[p]:
+                j = p
+                while j >= 0 and not holds[j]:
+                    holds[j] = True
+                    j = parent[j]
+    chars, linked, words, links, clean = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
+    bare = [False] * n
     for node, text in tree.pieces:
         if text:
-            k = len(text)
+            k = len(text) if not text.isspace() else 0
             chars[node] += k
-            words[node] += text.count(" ")
-            if tree.tags[node] == "a":
+            words[node] += len(text.split()) if k else 0
+            bare[node] = bare[node] or k > 0
+            if tags[node] == "a":
                 linked[node] += k
-    parent = tree.parent
+            elif not outside[node]:
+                clean[node] += k
     for i in range(n - 1, 0, -1):  # children come after their parents
         p = parent[i]
         chars[p] += chars[i]
         words[p] += words[i]
-        linked[p] += chars[i] if tree.tags[i] == "a" else linked[i]
+        clean[p] += clean[i]
+        links[p] += links[i] + (tags[i] == "a")
+        linked[p] += chars[i] if tags[i] == "a" else linked[i]
     x = np.zeros((n, N_FEATURES), np.float32)
-    for i in range(n):
-        named = _short_named if len(tree.names[i]) + len(tree.roles[i]) <= 400 else _named
-        x[i, named(tree.tags[i], tree.names[i], tree.roles[i])] = 1
-    c = np.array(chars, np.float32)
-    x[:, -5] = np.array(linked, np.float32) / np.maximum(c, 1)
-    x[:, -3] = (np.array(words, np.float32) > 40) & ~np.isin(np.array(tree.tags), _TEXTUAL)
-    x[:, -2] = c > 0
-    x[:, -1] = 1
+    at = np.array(columns, np.int64)
+    x[at[:, 0], at[:, 1]] = 1
+    c, w, density = (np.array(v, np.float32) for v in (chars, words, linked))
+    density /= np.maximum(c, 1)
+    listed = np.array([t in ("ul", "ol", "li", "div", "dl", "table") for t in tags]) & (np.array(links) > 0)
+    out = np.array(outside)
+    x[:, _AT["in outside"]] = out
+    x[:, _AT["article elsewhere"]] = (not inside[0]) and any(inside)
+    x[:, _AT["article elsewhere"]] *= ~np.array(inside) & ~np.array(holds)
+    x[:, _AT["holds article"]] = holds
+    x[:, _AT["linked"]] = density
+    x[:, _AT["linked list"]] = density * listed
+    x[:, _AT["mostly linked"]] = (density > 0.6) & listed
+    menu = listed & (density > 0.6) & (np.array(links) > 2) & ~np.array(inside)
+    for i in range(1, n):
+        menu[i] |= menu[parent[i]]
+    x[:, _AT["in links"]] = menu
+    x[:, _AT["words > 5"]] = w > 5
+    x[:, _AT["words > 40"]] = w > 40
+    share = np.array(clean, np.float32) / max(1, clean[0])
+    x[:, _AT["share"]] = share
+    x[:, _AT["share > half"]] = share > 0.5
+    x[:, _AT["bare"]] = bare
+    x[:, _AT["bare page"]] = np.array(bare) & np.array([t in ("html", "body") for t in tags])
+    x[:, _AT["has text"]] = c > 0
+    x[:, _AT["one"]] = 1
     return x
 
 
@@ -262,52 +370,107 @@ def extract(page: str | None, model: Model, threshold: float = THRESHOLD) -> str
 
 
 def labelled_pages(n: int = LABELLED_PAGES, seed: int = SEED):
-    """(html, words of the content) of made-up pages; content words start with k, all other words with q."""
+    """Made-up pages; content words start with k, all other words with q."""
     rng = random.Random(seed)
-    word = lambda c: c + "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 8)))
-    run = lambda c, a, b: " ".join(word(c) for _ in range(rng.randint(a, b)))
-    links = lambda c: "".join(f"<li><a href='/x'>{run(c, 1, 3)}</a>" + rng.choice(("</li>", "")) for _ in range(rng.randint(3, 12)))
     pick = rng.choice
 
-    def boiler() -> str:
-        kind = rng.randrange(14)
-        body = pick((run("q", 3, 30), f"<p>{run('q', 5, 40)}</p>", f"<p>{run('q', 5, 40)}<p>{run('q', 3, 20)}", f"<h3>{run('q', 1, 4)}</h3><p>{run('q', 4, 25)}</p>"))
-        if kind < 3:
-            return pick((f"<nav><ul>{links('q')}</ul></nav>", f"<div class='{pick(('menu', 'navbar', 'breadcrumbs', 'site-nav'))}'><ul>{links('q')}</ul></div>", f"<ul id='menu'>{links('q')}</ul>"))
-        if kind < 5:
-            return f"<div class=\"{pick(('ad', 'ads', 'advert', 'ad-slot', 'sponsored', 'promo', 'banner'))}\">{body}</div>"
-        if kind < 7:
-            return pick((f"<aside>{body}</aside>", f"<div class='{pick(('sidebar', 'widget', 'related', 'side-col'))}'>{body}<ul>{links('q')}</ul></div>"))
-        if kind == 7:
-            return f"<div class='{pick(('cookie-notice', 'notice', 'cookie-banner', 'alert', 'newsletter', 'popup', 'subscribe'))}'>{body}</div>"
-        if kind == 8:
-            return f"<form action='/s'><label>{run('q', 1, 3)}</label><input name=a><p>{run('q', 2, 12)}</p></form>"
-        if kind < 11:
-            return f"<{pick(('section', 'div'))} {pick(('class', 'id'))}='{pick(('comments', 'comment-list', 'reader-comments', 'responses', 'discussion'))}'><h2>{run('q', 1, 3)}</h2>" + "".join(f"<{(t := pick(('div', 'article', 'li')))} class='comment'><b>{run('q', 1, 2)}</b><p>{run('q', 5, 60)}</p></{t}>" for _ in range(rng.randint(1, 5))) + "</section></div>"
-        if kind == 11:
-            return f"<div class='{pick(('share', 'social', 'tags', 'toolbar'))}'><a href=#>{run('q', 1, 2)}</a> <a href=#>{run('q', 1, 2)}</a></div>"
-        return pick((f"<div role='{pick(('navigation', 'complementary', 'banner'))}'>{body}</div>", f"<div style='display:none'>{body}</div>", f"<div class='header'>{run('q', 1, 6)}</div>"))
+    def word(c: str) -> str:
+        return c + "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 8)))
 
-    def block() -> str:
-        kind = rng.randrange(16)
-        text = pick((run("k", 1, 6), run("k", 5, 60), run("k", 20, 120), f"{run('k', 3, 20)} <a href='/y'>{run('k', 1, 4)}</a> {run('k', 3, 30)}", f"<b>{run('k', 1, 4)}</b> {run('k', 4, 50)}", f"<b>{run('k', 4, 40)}.<br>", f"{run('k', 4, 30)} &amp; <em>{run('k', 1, 5)}</em>"))
-        if kind < 10:
-            return f"<p>{text}" + pick(("</p>", "</p>", ""))
-        return (f"<h2>{run('k', 1, 6)}</h2>", f"<ul>{''.join(f'<li>{run(chr(107), 2, 15)}</li>' for _ in range(rng.randint(1, 5)))}</ul>", f"<blockquote><p>{text}</p></blockquote>", f"<pre>{run('k', 3, 30)}</pre>", f"<table><tr><td>{run('k', 1, 4)}<td>{run('k', 1, 9)}</table>", f"<figure><img src=a><figcaption>{run('k', 2, 10)}</figcaption></figure>")[kind - 10]
+    def run(c: str, a: int, b: int) -> str:
+        return " ".join(word(c) for _ in range(rng.randint(a, b)))
+
+    def named(*names: str) -> str:
+        extra = pick(("", "", "", "x1 ", "js-", "col-4 "))
+        attribute = pick(("class", "class", "id"))
+        return pick((f'{attribute}="{extra}{pick(names)}"', f"{attribute}='{pick(names)}'", f"{attribute}={pick(names)}", f'title=don\'t {attribute}="{pick(names)}"'))
+
+    def links(c: str, a: int = 3, b: int = 12) -> str:
+        return "".join(f"<li><a href='/x'>{run(c, 1, 3)}</a>" + pick(("</li>", "")) for _ in range(rng.randint(a, b)))
+
+    def body() -> str:
+        text = pick((run("q", 3, 30), f"<p>{run('q', 5, 40)}</p>", f"<p>{run('q', 5, 40)}<p>{run('q', 3, 20)}", f"<h3>{run('q', 1, 4)}</h3><p>{run('q', 4, 25)}</p>", f"<div><p>{run('q', 4, 25)} <a href=/q>{run('q', 1, 4)}</a></p></div>", f"<ul>{links('q')}</ul>"))
+        return pick((text, text, f"<div>{text}</div>", f"<div class=inner><div>{text}</div></div>"))
+
+    def menu() -> str:
+        bar = " | ".join(f"<a href=/q>{run('q', 1, 2)}</a>" for _ in range(rng.randint(3, 9)))
+        return pick((f"<nav><ul>{links('q')}</ul></nav>", f"<nav>{bar}</nav>", f"<div {named('menu', 'navbar', 'breadcrumbs', 'site-nav', 'pagination')}><ul>{links('q')}</ul></div>", f"<ul id=menu>{links('q')}</ul>", f"<div>{bar}</div>", f"<ul>{links('q', 4)}</ul>", f"<div role=navigation>{bar}</div>"))
+
+    def advert() -> str:
+        return f"<div {named('ad', 'ads', 'advert', 'ad-slot', 'sponsored', 'promo', 'banner', 'advertisement')}>{body()}</div>"
+
+    def side() -> str:
+        return pick((f"<aside>{body()}</aside>", f"<aside {named('sidebar', 'box')}>{body()}{body()}</aside>", f"<div {named('sidebar', 'widget', 'related', 'side-col', 'related-posts', 'popular', 'trending')}>{body()}<ul>{links('q')}</ul></div>", f"<div role=complementary>{body()}</div>"))
+
+    def notice() -> str:
+        return pick((f"<div {named('cookie-notice', 'notice', 'cookie-banner', 'alert', 'newsletter', 'popup', 'subscribe', 'consent', 'gdpr')}>{body()}<button>{run('q', 1, 2)}</button></div>", f"<dialog>{body()}</dialog>", f"<div role=alert>{body()}</div>"))
+
+    def form() -> str:
+        return f"<form action='/s'><label>{run('q', 1, 3)}</label><input name=a><p>{run('q', 2, 12)}</p><select><option>{run('q', 1, 2)}<option>{run('q', 1, 2)}</select><textarea>{run('q', 1, 5)}</textarea><button>{run('q', 1, 2)}</button></form>"
 
+    def comments() -> str:
+        tag = pick(("section", "div"))
+        each = pick(("div", "article", "li"))
+        rows = "".join(f"<{each} class='comment'><b>{run('q', 1, 2)}</b><p>{run('q', 5, 60)}</p></{each}>" for _ in range(rng.randint(1, 5)))
+        rows = f"<ol>{rows}</ol>" if each == "li" else rows
+        return f"<{tag} {named('comments', 'comment-list', 'reader-comments', 'responses', 'discussion')}><h2>{run('q', 1, 3)}</h2>{rows}</{tag}>"
+
+    def tools() -> str:
+        return f"<div {named('share', 'social', 'tags', 'toolbar', 'share-buttons')}><a href=#>{run('q', 1, 2)}</a> <a href=#>{run('q', 1, 2)}</a></div>"
+
+    def hidden() -> str:
+        return f"<div {pick(('style=\"display:none\"', 'hidden', 'aria-hidden=true', 'style=\"color:red;display: none\"'))}>{body()}</div>"
+
+    def top() -> str:
+        return pick((f"<header><a href='/'>{run('q', 1, 3)}</a><p>{run('q', 2, 8)}</p></header>", f"<div {named('header', 'masthead', 'topbar')}><h1>{run('q', 1, 3)}</h1></div>", f"<header><h1>{run('q', 1, 4)}</h1>{menu()}</header>", f"<div role=banner>{run('q', 1, 6)}</div>"))
+
+    def bottom() -> str:
+        return pick((f"<footer>&copy; {run('q', 1, 8)}</footer>", f"<footer><p>{run('q', 2, 20)}</p><ul>{links('q')}</ul></footer>", f"<div {named('footer', 'site-footer', 'copyright')}>{run('q', 2, 16)}</div>", f"<footer><div><p>{run('q', 2, 16)}</p></div></footer>"))
+
+    def text() -> str:
+        return pick((
+            run("k", 1, 6), run("k", 5, 60), run("k", 20, 120), f"{run('k', 3, 20)} <a href='/y'>{run('k', 1, 4)}</a> {run('k', 3, 30)}", f"<b>{run('k', 1, 4)}</b> {run('k', 4, 50)}",
+            f"<b>{run('k', 4, 40)}.<br>", f"{run('k', 4, 30)} &amp; <em>{run('k', 1, 5)}</em>", f"{run('k', 1, 3)} <a href=/y>{run('k', 2, 6)}</a>{pick(('.', ' ' + run('k', 1, 3)))}", f"{run('k', 1, 9)} <math><mi>{word('k')}</mi><mo>=</mo></math> {run('k', 1, 9)}",
+            f"<a href=/y>{run('k', 1, 5)}</a>", f"<span>{run('k', 2, 20)}</span><sup><a href=#n>1</a></sup> {run('k', 2, 20)}"))
+
+    def block() -> str:
+        kind = rng.randrange(22)
+        if kind < 12:
+            return f"<p>{text()}" + pick(("</p>", "</p>", ""))
+        return (
+            f"<{(h := pick(('h2', 'h3', 'h4')))}>{run('k', 1, 6)}</{h}>", f"<ul>{''.join(f'<li>{run(chr(107), 2, 15)}</li>' for _ in range(rng.randint(1, 5)))}</ul>", f"<blockquote><p>{text()}</p></blockquote>",
+            f"<pre>{run('k', 3, 30)}</pre>", f"<table><tr><td>{run('k', 1, 4)}<td>{run('k', 1, 9)}<tr><td>{pick(('1', word('k')))}<td>2</table>", f"<figure><img src=a><figcaption>{run('k', 2, 10)}</figcaption></figure>",
+            f"<div>{run('k', 3, 40)}</div>", f"<div class=row><div><p>{text()}</p><p>{text()}</p></div></div>", f"<section><h2>{run('k', 1, 4)}</h2><p>{text()}</p></section>", f"<dl><dt>{run('k', 1, 3)}<dd>{run('k', 2, 12)}</dl>")[kind - 12]
+
+    boiler = (menu, advert, side, notice, form, comments, tools, hidden)
     for i in range(n):
-        before, after, inside = ([boiler() for _ in range(rng.randint(*r))] for r in ((0, 4), (0, 4), (0, 1)))
-        blocks = [block() for _ in range(rng.randint(1, 14))]
-        for x in inside:
-            blocks.insert(rng.randint(1, len(blocks)), x)
-        tag, name = pick((("article", ""), ("article", ""), ("main", ""), ("div", " class='content'"), ("div", " id='main'"), ("div", " class='post-body'"), ("section", " class='entry'"), ("div", " class='story'")))
-        head = pick((f"<h1>{run('k', 1, 10)}</h1>", f"<header><h1>{run('k', 1, 10)}</h1></header>" if tag == "article" else f"<h1>{run('k', 2, 5)}</h1>", ""))
-        site = pick(("", f"<header><a href='/'>{run('q', 1, 3)}</a><p>{run('q', 2, 8)}</p></header>", f"<div id='header'><h1>{run('q', 1, 3)}</h1></div>"))
-        foot = pick(("", f"<footer>&copy; {run('q', 1, 8)}</footer>", f"<footer><p>{run('q', 2, 20)}</p><ul>{links('q')}</ul></footer>", f"<div class='footer'>{run('q', 2, 16)}</div>"))
-        shell = f"<{tag}{name}>{head}{''.join(blocks)}</{tag}>"
+        blocks = [block() for _ in range(pick((1, 1, 2, 3, rng.randint(2, 6), rng.randint(4, 14))))]
+        shape = rng.randrange(20)
+        if shape == 0:  # no block at all
+            plain = pick((run("k", 1, 60), f"{run('k', 3, 30)}<br><br>{run('k', 3, 30)}", f"<b>{run('k', 1, 5)}</b> {run('k', 1, 40)}", f"{run('k', 1, 40)} <a href=/y>{run('k', 1, 5)}</a>"))
+            yield plain if rng.random() < 0.5 else f"<html><head><title>{run('q', 1, 5)}</title></head><body>{plain}{pick(('', bottom()))}</body></html>"
+            continue
+        for _ in range(pick((0, 0, 0, 1, 1, 2))):
+            blocks.insert(rng.randint(1, len(blocks)), pick((advert, side, notice, form, tools, hidden, advert))())
+        before, after = ("".join(pick(boiler)() for _ in range(pick((0, 1, 2, 3)))) for _ in range(2))
+        head = pick((f"<h1>{run('k', 1, 10)}</h1>", f"<h1>{run('k', 1, 10)}</h1><div class={pick(('byline', 'author', 'meta'))}>{run('k', 1, 4)}</div>", ""))
+        if shape < 12:
+            tag, name = pick((("article", ""), ("article", ""), ("main", ""), ("article", " class='post-3 post has-sidebar'"), ("div", " role=main"), ("main", " id=content")))
+            if tag == "article":
+                head = pick((head, f"<header>{head}</header>"))
+                blocks += [pick((f"<footer>{run('q', 1, 9)}</footer>", f"<footer>{tools()}</footer>", comments()))] if rng.random() < 0.2 else []
+        elif shape < 17:
+            tag, name = pick((("div", " class='content'"), ("div", " id='main'"), ("div", " class='post-body'"), ("section", " class='entry'"), ("div", " class='story'"), ("div", " class='entry-content'"), ("div", " id=article-text")))
+        else:
+            tag, name = pick((("div", ""), ("div", " class=c7"), ("section", ""), ("", "")))
+        shell = f"<{tag}{name}>{head}{''.join(blocks)}</{tag}>" if tag else head + "".join(blocks)
         if rng.random() < 0.3:
-            shell = f"<div class='{pick(('wrap', 'container', 'page', 'row'))}'>{shell}{pick(('', boiler()))}</div>"
-        yield f"<!DOCTYPE html><html><head><title>{run('q', 1, 5)}</title><script>var t='<p>q</p>';</script></head><body>{site}{''.join(before)}<!-- q {i} -->{shell}{''.join(after)}{foot}</body></html>"
+            shell = f"<div class='{pick(('wrap', 'container', 'page', 'row', 'site-content', 'content-sidebar-wrap' if tag in ('article', 'main') else 'wrap'))}'>{shell}{pick(('', pick(boiler)()))}</div>"
+        if rng.random() < 0.05 and tag in ("article", "main"):
+            shell = f"<form id=aspnetForm action=/>{shell}</form>"
+        top_, foot = pick(("", top())), pick(("", bottom()))
+        start = pick(("<!DOCTYPE html><html><head>", "<html lang=en><head><meta charset=utf-8>", "<head>")) + f"<title>{run('q', 1, 5)}</title><style>p{{margin:0}}</style><script>var t='<p>q</p>';</script></head><body{pick(('', '', ' class=comments-open'))}>"
+        yield f"{start}{top_}{before}<!-- q {i} -->{shell}{after}{foot}{pick(('</body></html>', ''))}"
 
 
 def labels_of(tree: Tree) -> np.ndarray:
@@ -361,7 +524,7 @@ def extract_pages(pages: DataFrame, model: Model, threshold: float = THRESHOLD)
     shared = pages.sparkSession.sparkContext.broadcast(model)  # a few kB
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             texts = [extract(x.as_py(), shared.value, threshold) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
