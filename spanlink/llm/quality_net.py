@@ -1,15 +1,21 @@
 """A byte-level convolutional quality classifier in numpy.
 
-A text is its UTF-8 bytes. Each byte is embedded; filters of WIDTH bytes slide byte by byte (STRIDE 1) over the text, whose
-windows are dealt to chunks by the CHUNK bytes in which they begin, so every window of the whole text is seen. A chunk's features are each filter's largest and mean
-activation; a text's features are the mean over its chunks of both and the largest over its chunks, and a logistic layer
-combines them, two repetition shares (8-byte contexts seen before in the same chunk) and the length into one probability.
-All weights are learned by Adam on a bounded sample of
-labelled texts; class weights are even and the output is calibrated on rows that were left out of the training.
+A text is its UTF-8 bytes. Each byte is embedded; FILTERS filters of WIDTH bytes slide byte by byte over the whole text. The text
+is cut into chunks of CHUNK bytes that overlap by WIDTH - 1 bytes, so every window lies in exactly one chunk. Each filter is
+max-pooled over a chunk's windows. The text's features are, for each filter, the mean of its chunks' maxima and the largest of
+them; a logistic layer combines these into one probability. Embedding, filters and that layer are learned together by Adam;
+gradients reach the windows that the maxima came from. Class weights are even and the probability is calibrated (Platt) on
+rows that were left out of the training. Texts are worked on AT_ONCE chunks at a time, in training and in scoring, so a text
+of any length needs little more memory than itself.
+
+Training uses a bounded sample: SAMPLE_ROWS labelled texts at most, half of each label where there are enough, those with the
+smallest hashes of doc_id; in this order each is taken as long as all together have at most SAMPLE_BYTES bytes. Length alone
+leaves no text out unless it is longer than what is left of that bound.
 
 Inputs: a null text is an empty one, which is scored by its (zero) features like any other; labels that are null are no
-examples; with no example or one class only, the score of every text is the share of label 1 (0.5 with none). Rows that
-repeat a doc_id are each scored; other columns are ignored.
+examples; with no example or one class only, the score of every text is the share of label 1 (0.5 with none). A score equal to
+the threshold counts as 1. Rows that repeat a doc_id are each scored; other columns are ignored; empty tables give empty
+tables.
 """
 
 from __future__ import annotations
@@ -21,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .hashing import slices, text_buffer
 
-SAMPLE_ROWS = 1600
-#: Training texts longer than this are not chosen for the sample; scoring has no such bound.
-SAMPLE_BYTES = 12_000
-DIM, WIDTH, STRIDE, FILTERS, CHUNK = 4, 8, 1, 16, 512
-#: Chunks that are evaluated at once in scoring.
+SAMPLE_ROWS, SAMPLE_BYTES = 1600, 8 << 20
+DIM, WIDTH, FILTERS, CHUNK = 4, 8, 16, 512
+STEP = CHUNK - WIDTH + 1
+#: Chunks that are evaluated at once.
 AT_ONCE = 32
 
 
@@ -37,57 +43,37 @@ class Net:
     conv: np.ndarray
     bias: np.ndarray
     out: np.ndarray
-    base: float
-    mean: np.ndarray = field(default_factory=lambda: np.zeros(3 * FILTERS + 3, np.float32))
-    dev: np.ndarray = field(default_factory=lambda: np.ones(3 * FILTERS + 3, np.float32))
+    base: np.ndarray = field(default_factory=lambda: np.zeros(1, np.float32))
     slope: float = 1.0
     shift: float = 0.0
     constant: float | None = None
 
 
-def _planes(body: np.ndarray) -> np.ndarray:
-    """Windows of one text, (windows, WIDTH) byte values, at least one; zero bytes fill the end."""
-    n = max(1, -(-max(0, len(body) - WIDTH) // STRIDE) + 1)
-    padded = np.zeros((n - 1) * STRIDE + WIDTH, np.uint8)
-    padded[: len(body)] = body[: len(padded)]
-    return np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[::STRIDE]
-
-
-def repeats(body: np.ndarray) -> tuple[float, float]:
-    """Share of bytes whose 8-byte context stood before in the same chunk, mean and largest over overlapping chunks."""
-    if len(body) < 16:
-        return 0.0, 0.0
-    powers = np.array([pow(0x9E3779B97F4A7C15, i + 1, 2**64) for i in range(8)], np.uint64)
-    wide = np.zeros(len(body) - 7, np.uint64)
-    b = body.astype(np.uint64)
-    for i in range(8):
-        wide += b[i : len(b) - 7 + i] * powers[i]
-    found = []
-    for at in range(0, len(wide), CHUNK * 2):
-        part = wide[at : at + CHUNK * 2 + 64]
-        found.append(1 - len(np.unique(part)) / len(part))
-    return float(np.mean(found)), float(np.max(found))
-
-
-def features(net: Net, body: np.ndarray, with_grad: bool = False):
-    """(mean of maxima, mean of means, largest) of each filter over chunks, repetition and length."""
-    windows, per = _planes(body), CHUNK // STRIDE
-    highs, total = [], np.zeros(FILTERS)
-    size = len(windows) if with_grad else per * AT_ONCE  # bounds the memory of a long text
-    for at in range(0, len(windows), size):
-        part = windows[at : at + size]
-        x = net.embed[part].reshape(len(part), WIDTH * DIM)
-        act = np.maximum(x @ net.conv + net.bias, 0)
-        cuts = np.arange(0, len(act), per)
-        highs.append(np.maximum.reduceat(act, cuts, axis=0))
-        total += act.sum(axis=0)
-    high = np.concatenate(highs)
-    row = np.concatenate([high.mean(axis=0), (total / len(windows)).astype(np.float32), high.max(axis=0)])
-    return (row, windows, x, act, cuts, high) if with_grad else row
+def _windows(body: np.ndarray) -> np.ndarray:
+    """All windows of one text as a view, (windows, WIDTH) byte values, at least one; zero bytes fill a shorter text."""
+    padded = body if len(body) >= WIDTH else np.concatenate([body, np.zeros(WIDTH - len(body), np.uint8)])
+    return np.lib.stride_tricks.sliding_window_view(padded, WIDTH)
+
+
+def pooled(net: Net, body: np.ndarray, places: bool = False):
+    """Each chunk's maximum of each filter, (chunks, FILTERS), and with places the window that each came from."""
+    windows = _windows(body)
+    high, where = [], []
+    for at in range(0, len(windows), STEP * AT_ONCE):
+        part = windows[at : at + STEP * AT_ONCE]
+        act = net.embed[part].reshape(len(part), WIDTH * DIM) @ net.conv
+        cuts = np.arange(0, len(part), STEP)
+        high.append(np.maximum.reduceat(act, cuts, axis=0))
+        if places:
+            where.append(np.stack([act[c : c + STEP].argmax(axis=0) + c for c in cuts]) + at)
+    top = np.maximum(np.concatenate(high) + net.bias, 0)
+    return (top, np.concatenate(where), windows) if places else top
 
 
 def row_of(net: Net, body: np.ndarray) -> np.ndarray:
-    return np.concatenate([features(net, body), repeats(body), [np.log1p(len(body)) / 10]]).astype(np.float32)
+    """Mean and largest of the chunks' maxima of each filter."""
+    top = pooled(net, body)
+    return np.concatenate([top.mean(axis=0), top.max(axis=0)])
 
 
 def _adam(state: dict, name: str, value: np.ndarray, grad: np.ndarray, step: int, rate: float) -> None:
@@ -97,56 +83,46 @@ def _adam(state: dict, name: str, value: np.ndarray, grad: np.ndarray, step: int
     value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
 
 
-def fit(bodies: list[np.ndarray], labels: list[int], epochs: int = 6, batch: int = 16, rate: float = 0.01, seed: int = 3) -> Net:
+def fit(bodies: list[np.ndarray], labels: list[int], epochs: int = 6, steps: int = 320, batch: int = 16, rate: float = 0.02, seed: int = 3) -> Net:
+    """Learned in `epochs` passes, or more where the sample is so small that these have fewer than `steps` batches."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.float32)
-    net = Net(rng.normal(0, 0.5, (256, DIM)).astype(np.float32), rng.normal(0, 0.3, (WIDTH * DIM, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 3 * FILTERS + 3).astype(np.float32), 0.0)
+    net = Net(rng.normal(0, 0.5, (256, DIM)).astype(np.float32), rng.normal(0, 0.3, (WIDTH * DIM, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32))
     if not len(y) or y.min() == y.max():
         net.constant = float(y.mean()) if len(y) else 0.5
         return net
     held = np.arange(len(y)) % 5 == 4
     train = np.flatnonzero(~held)
     weight = np.where(y == 1, 0.5 / max(1, (y[train] == 1).sum()), 0.5 / max(1, (y[train] == 0).sum())) * len(train)
-    extra = [np.array([*repeats(b), np.log1p(len(b)) / 10], np.float32) for b in bodies]
-    base, state, step = np.zeros(1, np.float32), {}, 0
-    for _ in range(epochs):
+    learned, state, step, cols = ("embed", "conv", "bias", "out", "base"), {}, 0, np.arange(FILTERS)
+    epochs = max(epochs, -(-steps * batch // len(train)))
+    for epoch in range(epochs):
         order = rng.permutation(train)
         for at in range(0, len(order), batch):
-            grads = {k: np.zeros_like(v) for k, v in (("embed", net.embed), ("conv", net.conv), ("bias", net.bias), ("out", net.out), ("base", base))}
+            grads = {k: np.zeros_like(getattr(net, k)) for k in learned}
             part = order[at : at + batch]
             for i in part:
-                row, windows, x, act, cuts, high = features(net, bodies[i], True)
-                full = np.concatenate([row, extra[i]])
-                p = 1 / (1 + np.exp(-np.clip(full @ net.out + base[0], -30, 30)))
+                top, where, windows = pooled(net, bodies[i], True)
+                row = np.concatenate([top.mean(axis=0), top.max(axis=0)])
+                p = 1 / (1 + np.exp(-np.clip(row @ net.out + net.base[0], -30, 30)))
                 g = np.float32((p - y[i]) * weight[i] / len(part))
-                grads["out"] += g * full
+                grads["out"] += g * row
                 grads["base"] += g
-                down = g * net.out
-                d = np.repeat((down[FILTERS : 2 * FILTERS] / len(act))[None], len(act), axis=0)
-                ends = np.append(cuts[1:], len(act))
-                best = np.stack([act[a:b].argmax(axis=0) + a for a, b in zip(cuts, ends, strict=True)])
-                cols = np.arange(FILTERS)
-                for k in range(len(cuts)):
-                    d[best[k], cols] += down[:FILTERS] / len(cuts)
-                d[best[high.argmax(axis=0), cols], cols] += down[2 * FILTERS : 3 * FILTERS]
-                d *= act > 0
-                grads["conv"] += x.T @ d
+                d = np.repeat((g * net.out[:FILTERS] / len(top))[None], len(top), axis=0)
+                d[top.argmax(axis=0), cols] += g * net.out[FILTERS:]
+                d *= top > 0
                 grads["bias"] += d.sum(axis=0)
-                dx = (d @ net.conv.T).reshape(-1, DIM)
-                flat = windows.reshape(-1)
+                hit = windows[where]  # (chunks, FILTERS, WIDTH) bytes
+                x = net.embed[hit].reshape(*where.shape, WIDTH * DIM)
+                grads["conv"] += np.einsum("cfx,cf->xf", x, d)
+                dx = (d[:, :, None] * net.conv.T[None]).reshape(-1, DIM)
+                flat = hit.reshape(-1)
                 for j in range(DIM):
                     grads["embed"][:, j] += np.bincount(flat, dx[:, j], 256).astype(np.float32)
             step += 1
-            for k, v in (("embed", net.embed), ("conv", net.conv), ("bias", net.bias), ("out", net.out), ("base", base)):
-                _adam(state, k, v, grads[k] + np.float32(1e-4) * v, step, rate)
-    # the last layer again on all features, standardised, then Platt calibration on the rows left out
-    rows = np.stack([np.concatenate([features(net, b), e]) for b, e in zip(bodies, extra, strict=True)]).astype(np.float64)
-    mean, dev = rows[train].mean(axis=0), rows[train].std(axis=0) + 1e-3
-    z = np.clip((rows - mean) / dev, -8, 8)
-    net.mean, net.dev = mean.astype(np.float32), dev.astype(np.float32)
-    coef = _logistic(z[train], y[train], weight[train])
-    net.out, net.base = coef[:-1].astype(np.float32), float(coef[-1])
-    logit = z[held] @ coef[:-1] + coef[-1]
+            for k in learned:
+                _adam(state, k, getattr(net, k), grads[k] + np.float32(1e-4) * getattr(net, k), step, rate * (1 - epoch / epochs))
+    logit = np.array([row_of(net, bodies[i]) @ net.out + net.base[0] for i in np.flatnonzero(held)], np.float64)
     if held.any() and y[held].min() < y[held].max():
         slope, shift = _logistic(logit[:, None], y[held], np.ones(held.sum()))
         if slope > 0:
@@ -174,20 +150,28 @@ def scores(net: Net, texts: pa.Array) -> list[float]:
     for _, part in slices(texts):
         body, offsets = text_buffer(part)
         rows = np.stack([row_of(net, body[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
-        logit = np.clip((rows - net.mean) / net.dev, -8, 8) @ net.out + net.base
+        logit = rows @ net.out + net.base[0]
         out += (1 / (1 + np.exp(-np.clip(net.slope * logit + net.shift, -30, 30)))).astype(float).tolist()
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, **options) -> Net:
-    """A net of at most sample_rows labelled texts, those with the smallest hashes of doc_id; half of them have label 0 if there are enough."""
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, **options) -> Net:
+    """A net of at most sample_rows labelled texts with at most sample_bytes bytes in all, in the order of hashes of doc_id."""
     usable = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("y"), F.xxhash64("doc_id", F.lit(7)).alias("o"))
     parts = [usable.where(F.col("y") == v).orderBy("o", "doc_id").limit(sample_rows // 2) for v in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # the limits bound it
-    short = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text")
-    rows = short.join(chosen, "doc_id").select("o", "doc_id", "y", "text").collect()
-    rows = sorted(rows, key=lambda r: (r["o"], r["doc_id"], r["y"], r["text"]))[:sample_rows]
-    return fit([np.frombuffer(r["text"].encode(), np.uint8) for r in rows], [r["y"] for r in rows], **options)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.octet_length(text).alias("size"), F.xxhash64(text).alias("t")).join(chosen, "doc_id")
+    sizes = rows.select("o", "doc_id", "y", "t", "size").orderBy("o", "doc_id", "y", "t").limit(sample_rows).collect()
+    taken, left = {}, sample_bytes
+    for r in sizes:
+        if r["size"] <= left:
+            taken[r["doc_id"], r["t"]] = None
+            left -= r["size"]
+    wanted = docs.sparkSession.createDataFrame(list(taken) or [(0, 0)], "doc_id long, t long")  # sample_rows rows at most
+    found = rows.join(F.broadcast(wanted), ["doc_id", "t"], "left_semi").select("o", "doc_id", "y", "t", "text").dropDuplicates(["doc_id", "y", "t"]).collect() if taken else []
+    found = sorted(found, key=lambda r: (r["o"], r["doc_id"], r["y"], r["t"]))
+    return fit([np.frombuffer(r["text"].encode(), np.uint8) for r in found], [r["y"] for r in found], **options)
 
 
 def score(docs: DataFrame, net: Net, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -197,7 +181,7 @@ def score(docs: DataFrame, net: Net, threshold: float = 0.3, keep: tuple[str, ..
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.drop("__text").schema) + ", score double, predicted int"
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             s = scores(shared.value, batch.column(len(keep)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=[*keep, "score", "predicted"])
 
