@@ -19,6 +19,7 @@ are ignored; empty tables give no files and an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -30,17 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path, shuffles_dropped
-from .hashing import slices
+from .common import drop_path, fresh_path, lean, materialize, shuffles_dropped
+from .hashing import slices, text_buffer
 
 MAGIC, HEAD, BLOCK = b"S8BC", struct.Struct("<4sIQIQ"), 128
 #: Count and width of selectors 0 to 13.
 PACKINGS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE, PAD = 15, 60
-#: Text bytes of a file, about: a file is one row of the binary reader.
-FILE_BYTES = 12 << 20
-#: Pieces that a worker remembers at most.
-CACHE_PIECES = 400_000
+#: Text bytes of a file, about, and of a chunk: a file is one row of the binary reader, and has whole chunks.
+FILE_BYTES, CHUNK_BYTES = 12 << 20, 1 << 20
+#: Text bytes of a range of doc_ids, which one task sorts and writes as several files.
+RANGE_BYTES = 256 << 20
+#: Pieces that a worker remembers at most, and their characters.
+CACHE_PIECES, CACHE_CHARS = 400_000, 6 << 20
 
 
 def _needs(ids: np.ndarray) -> np.ndarray:
@@ -145,7 +148,7 @@ def chunk(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
 
 def chunks(data: bytes):
     """(doc_ids, lengths, ids) of each chunk of a file."""
-    at = 0
+    data, at = memoryview(data), 0
     while at < len(data):
         magic, docs, n, blocks, count = HEAD.unpack_from(data, at)
         if magic != MAGIC:
@@ -162,9 +165,18 @@ def chunks(data: bytes):
         yield [int(d) if h else None for h, d in zip(has, known, strict=True)], lengths.astype(np.int64), unpack(heads, words, n)
 
 
-#: Characters whose classes and lower-case forms are plain; other texts, and those with a special token, are encoded whole.
-_OTHER = re.compile(r"[^\x00-\x1b\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]|<\|")
+#: Plain text, whose classes and lower-case forms are plain, has the characters 00 to 1B, 20 to 7E, and the letters of C0 to FF; no "<|".
+_ODD_BYTE = np.ones(256, bool)
+_ODD_BYTE[[*range(0x1C), *range(0x20, 0x7F), *range(0x80, 0xC0), 0xC3]] = False
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
+#: The settings of a tokenizer file for which _PIECES cuts plain, lower-case text as the tokenizer does.
+PLAIN_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "truncation": None,
+}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -174,6 +186,22 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def has_plain_rules(settings: dict) -> bool:
+    """Whether a tokenizer file's settings are those of PLAIN_RULES, with no added token that plain text may hold."""
+    return all(settings.get(k) == v for k, v in PLAIN_RULES.items()) and all(t["content"].startswith("<|") for t in settings.get("added_tokens") or ())
+
+
+def plain_texts(texts: pa.Array) -> list[bool]:
+    """Whether each text has plain characters alone; others, and those that may hold a special token, are encoded whole."""
+    body, offsets = text_buffer(texts)
+    odd = _ODD_BYTE[body]
+    if len(body) > 1:
+        after = body[1:]
+        odd[1:] |= (body[:-1] == 0xC3) & ((after == 0x97) | (after == 0xB7)) | (body[:-1] == ord("<")) & (after == ord("|"))
+    before = np.concatenate([[0], np.cumsum(odd)])
+    return (before[offsets[1:]] == before[offsets[:-1]]).tolist()
+
+
 def _next_none(parts: list, at: int) -> int:
     try:
         return parts.index(None, at)
@@ -184,30 +212,40 @@ def _next_none(parts: list, at: int) -> int:
 class Encoder:
     """Ids of whole texts, piece by piece through a bounded cache.
 
-    The tokenizer's rules cut a text into pieces that its model encodes one by one, and drop white space. Texts of plain
-    characters are cut here by the same rules and only unknown pieces go to the model; all others go through the tokenizer.
-    The shortcut is for vocabularies whose rules are those of _PIECES on lower-case text; `plain` turns it off.
+    The tokenizer's rules cut a text into pieces that its model encodes one by one, and drop white space. Plain texts are cut
+    here by the same rules and only unknown pieces go to the model; all other texts go through the tokenizer. The shortcut is
+    taken only where the tokenizer file has these rules; `plain` turns it off.
     """
 
     def __init__(self, path: str, end_id: int, plain: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.known, self.end, self.plain = Tokenizer.from_file(path), {}, np.array([end_id], "<u4").tobytes(), plain
+        self.tok, self.known, self.chars, self.end = Tokenizer.from_file(path), {}, 0, np.array([end_id], "<u4").tobytes()
+        with open(path, encoding="utf-8") as f:
+            self.plain = plain and has_plain_rules(json.load(f))
         self.model, self.letters = self.tok.model, _byte_letters()
 
     def _piece(self, piece: str) -> bytes:
-        if len(self.known) >= CACHE_PIECES:
+        if len(self.known) >= CACHE_PIECES or self.chars >= CACHE_CHARS:
             self.known.clear()
+            self.chars = 0
         ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-        found = self.known[piece] = np.array(ids, "<u4").tobytes()
+        found = np.array(ids, "<u4").tobytes()
+        if len(piece) < 100:  # longer ones hardly come again
+            self.known[piece] = found
+            self.chars += len(piece)
         return found
 
-    def __call__(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids, the end id last."""
+    def all(self, texts: pa.Array) -> list[bytes]:
+        """For each text its little-endian unsigned 32-bit ids, the end id last."""
+        plain = plain_texts(texts) if self.plain else [False] * len(texts)
+        return [self._one(t, p) for t, p in zip(texts.to_pylist(), plain, strict=True)]
+
+    def _one(self, text: str | None, plain: bool) -> bytes:
         if not text:
             return self.end
-        if not self.plain or _OTHER.search(text):
+        if not plain:
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
         pieces = _PIECES.findall(text.lower())
         parts, at = list(map(self.known.get, pieces)), -1
@@ -227,25 +265,31 @@ def encoder(path: str, end_id: int) -> Encoder:
     return _encoders[path, end_id]
 
 
-def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, file_bytes: int = FILE_BYTES) -> None:
-    """Token files of docs under path, named in doc_id order. tokenizer: a path that every executor has."""
+def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, file_bytes: int = FILE_BYTES, range_bytes: int = RANGE_BYTES) -> None:
+    """Token files of docs under path, named in doc_id order. tokenizer: a path that every executor has.
+
+    Ranges of doc_ids are sorted by one task each. There are as many as the session has shuffle partitions where these have
+    file_bytes or more, and otherwise as few as range_bytes allows, so their number stays small on large inputs.
+    """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(-(-size // range_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes)), 1)
 
     def run(batches):
         encode = None
-        for batch in batches:
+        for batch in lean(batches):
             encode = encode or encoder(tokenizer, end_id)
             ids = batch.column(0).to_pylist()
-            for at, part in slices(batch.column(1)):
-                coded = [encode(t) for t in part.to_pylist()]
+            for at, part in slices(batch.column(1), CHUNK_BYTES):
+                coded = encode.all(part)
                 data = chunk(ids[at : at + len(part)], [len(c) // 4 for c in coded], np.frombuffer(b"".join(coded), "<u4"))
                 yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["chunk"])
 
-    tie = F.xxhash64("text")
-    dealt = docs.withColumn("tie", tie).repartitionByRange(max(1, -(-size // file_bytes)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    with shuffles_dropped(docs.sparkSession):
-        dealt.mapInArrow(run, "chunk binary").select(F.col("chunk").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    dealt = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(ranges, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    with shuffles_dropped(spark):
+        rows = dealt.mapInArrow(run, "chunk binary").select(F.col("chunk").cast("string").alias("value"))
+        rows.write.option("lineSep", "\n").option("maxRecordsPerFile", max(1, 2 * file_bytes // CHUNK_BYTES)).text(path)
 
 
 def read(spark, path: str) -> DataFrame:
@@ -253,11 +297,11 @@ def read(spark, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 at = place = 0
-                for doc_ids, lengths, ids in chunks(data.as_py()):
-                    raw, edges = ids.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(lengths)])
+                for doc_ids, lengths, ids in chunks(data.as_buffer()):
+                    raw, edges = memoryview(ids.astype("<u4")).cast("B"), np.concatenate([[0], np.cumsum(lengths)])
                     crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
                     rows = len(doc_ids)
                     yield pa.RecordBatch.from_pydict({"file": pa.array([name.rpartition("/")[2]] * rows), "place": pa.array(range(place, place + rows), pa.int64()), "doc_id": pa.array(doc_ids, pa.int64()), "at": pa.array(edges[:-1] + at, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
@@ -266,17 +310,27 @@ def read(spark, path: str) -> DataFrame:
     return files.mapInArrow(run, "file string, place long, doc_id long, at long, n_tokens long, ids_crc32 long")
 
 
-def with_starts(rows: DataFrame) -> DataFrame:
-    """Adds start, ids of all documents before it: a running sum over files, of which there is one row each."""
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    before = F.coalesce(F.sum("total").over(W.orderBy(F.regexp_extract("file", r"part-(\d+)", 1).cast("long"), "file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(files.select("file", before.alias("before")), "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "file", "place")
+#: Ranges whose files are summed together before the running sum over all.
+GROUP = 1024
 
 
-def token_table(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """Write the token files of docs to the shared folder and give what they hold of each document."""
-    from .common import materialize
-
-    path = fresh_path(docs.sparkSession, "tokens")
-    write(docs, tokenizer, path, end_id)
-    return with_starts(materialize(read(docs.sparkSession, path), "token-rows"))
+def with_starts(rows: DataFrame) -> DataFrame:
+    """Adds start, ids of all documents before it: running sums over files within groups of ranges, and over these groups."""
+    number = lambda p: F.coalesce(F.try_to_number(F.regexp_extract("file", p, 1), F.lit("9" * 18)).cast("long"), F.lit(0))
+    part, piece = number(r"part-(\d+)"), number(r"-c(\d+)")
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total")).select("file", "total", part.alias("part"), piece.alias("piece"), F.floor(part / GROUP).alias("group"))
+    so_far = lambda w: F.coalesce(F.sum("total").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = files.groupBy("group").agg(F.sum("total").alias("total")).select("group", so_far(W.orderBy("group")).alias("base"))
+    before = files.withColumn("before", so_far(W.partitionBy("group").orderBy("part", "piece", "file"))).join(groups, "group")
+    before = before.select("file", (F.col("base") + F.col("before")).alias("before"))
+    return rows.join(before, "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "file", "place")
+
+
+def token_table(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:
+    """Write the token files of docs to path and give what they hold of each document; without a path they go once read."""
+    target = path or fresh_path(docs.sparkSession, "tokens")
+    write(docs, tokenizer, target, end_id)
+    rows = materialize(read(docs.sparkSession, target), "token-rows")
+    if path is None:
+        drop_path(docs.sparkSession, target)
+    return with_starts(rows)
