@@ -1,13 +1,16 @@
 """WARC archives with revisit records, and their globally ordered capture index.
 
-Records are built as text columns and written by Spark's text writer: the two line breaks that end a WARC record are its line
-separator, so files go through any store that Spark reaches. Each file is a run of captures sorted by URL key and time.
-Reading parses records by Content-Length and recomputes payload digests. The index is an external merge: captures are dealt
-by ranges of (URL key, time, page), and in each range the sorted runs pass through a k-way loser tree.
+Records are built as text columns, put together to files of about FILE_BYTES and written by Spark's text writer: the two line
+breaks that end a WARC record are its line separator, so files go through any store that Spark reaches. Each file is a run of
+captures sorted by URL key, time and page. Reading parses records by Content-Length and recomputes payload digests. The index
+is an external merge: captures, which have no payload, are dealt by ranges of (URL key, time, page, place) with about RANGE_ROWS
+each, however many there are and however many equal ones, and in each range the parts of the sorted runs, which keep their
+order, pass through a k-way loser tree. A run out of order raises.
 
 Inputs: a null html is an empty payload; a null url has an empty URL key; null page_ids are captures of their own that
 revisit an equal payload where a known page_id has it; rows that repeat the smallest page_id of a payload are all responses;
-other columns are ignored; empty tables give an empty result.
+captures of equal key, time and page come in the order of run and offset; other columns are ignored; empty tables give an empty
+result.
 """
 
 from __future__ import annotations
@@ -19,10 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, fresh_path, materialize
+from .. import ship
+from .common import drop_path, fresh_path, lean, materialize
 
-#: Captures of a file; a file is one row of the binary reader.
-FILE_RECORDS = 1500
+#: Bytes of a file, which is one row of the binary reader; it has one record more at most, and records of this size stand alone.
+FILE_BYTES = 8 << 20
+#: Captures of a range of the index, about; a range is merged by one task in memory.
+RANGE_ROWS = 50_000
+#: A payload that so many pages share is looked up with the page's number as a second key.
+SALTS = 32
 MAX_BROADCAST_ROWS = 500_000
 EPOCH = 1577836800
 NL = "\r\n"
@@ -49,7 +57,12 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"))
     rows = rows.select("*", F.octet_length("html").alias("bytes"), base32_sha1(F.col("html").cast("binary")).alias("digest"))
     groups = rows.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null").select("digest", "first")
-    joined = rows.join(broadcast_if_small(materialize(groups, "equal-payloads"), MAX_BROADCAST_ROWS), "digest", "left")
+    groups = materialize(groups, "equal-payloads")
+    if groups.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(groups), "digest", "left")
+    else:  # the key of a payload that very many pages share is split
+        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
     again = F.col("page_id").isNull() | (F.col("page_id") > F.col("first"))
     return joined.select("page_id", "url", "html", "bytes", "digest", F.when(F.col("first").isNotNull() & again & (F.col("bytes") >= min_bytes), F.col("first")).alias("refers_to"))
 
@@ -69,7 +82,23 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         F.when(revisit, F.concat(F.lit(f"{NL}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{NL}WARC-Refers-To: "), name("refers_to"))).otherwise(""),
         F.lit(f"{NL}Content-Type: application/http; msgtype=response{NL}Content-Length: "), F.octet_length(block).cast("string"), F.lit(NL + NL), block)
     sorted_ = rows.select(record.alias("value"), url_key(F.col("url")).alias("key"), time.alias("time"), "page_id").sortWithinPartitions("key", "time", "page_id").select("value")
-    sorted_.write.option("lineSep", NL + NL).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+
+    def files(batches):
+        held, size = [], 0
+        for batch in lean(batches):
+            for value in batch.column(0):
+                data = value.as_buffer().to_pybytes()
+                if held and size + len(data) > FILE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join(held)], pa.binary())], names=["file"])
+                    held, size = [], 0
+                held.append(data)
+                size += len(data)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join(held)], pa.binary())], names=["file"])
+
+    ship(pages.sparkSession)
+    made = sorted_.mapInArrow(files, "file binary").select(F.col("file").cast("string").alias("value"))
+    made.write.option("lineSep", NL + NL).option("maxRecordsPerFile", 1).text(path)
 
 
 def records(data: bytes):
@@ -101,7 +130,7 @@ def read(spark, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 out = []
                 for offset, length, h, block in records(data.as_py()):
@@ -154,31 +183,42 @@ class LoserTree:
             self._play(winner)
 
 
-def capture_index(captures: DataFrame) -> DataFrame:
-    """Captures in global order of (url_key, time, page_id) over the partitions of the result, each partition merged from its sorted runs."""
+def _key(text: str | None) -> bytes:
+    return (text or "").encode()
+
+
+def capture_index(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Captures in global order of (url_key, time, page_id, run, offset) over the partitions of the result, merged from the sorted runs."""
     keyed = captures.withColumn("url_key", url_key(F.col("url")))
-    dealt = keyed.repartitionByRange("url_key", "time", "page_id").sortWithinPartitions("run", "url_key", "time", "page_id")
-    names = dealt.columns
-    at = {c: i for i, c in enumerate(names)}
+    ranges = max(1, -(-captures.count() // range_rows))
+    # within a range each run is brought back to the order of its file; the runs themselves are merged below
+    dealt = keyed.repartitionByRange(ranges, "url_key", "time", "page_id", "run", "offset").sortWithinPartitions("run", "offset")
+    at = {c: i for i, c in enumerate(dealt.columns)}
 
     def run(batches):
-        rows, runs = [], {}
-        for batch in batches:
-            rows.append(batch)
+        rows = list(batches)
         if not rows:
             return
         whole = pa.Table.from_batches(rows)
         keys = zip(*(whole.column(at[c]).to_pylist() for c in ("url_key", "time", "page_id", "run")), strict=True)
+        runs: dict[str, list] = {}
         for i, (key, time, page, name) in enumerate(keys):
-            runs.setdefault(name, []).append(((key.encode(), time, page is not None, page or 0, i), i))
-        order = [i for _, i in LoserTree(list(runs.values()))]
+            entry = (_key(key), time, page is not None, page or 0)
+            ahead = runs.setdefault(name, [])
+            if ahead and ahead[-1][0] > entry:
+                raise ValueError(f"run {name} is not in order at {key}")
+            ahead.append((entry, i))
+        order = [i for _, i in LoserTree([runs[name] for name in sorted(runs)])]
         yield from whole.take(pa.array(order)).combine_chunks().to_batches()
 
     return dealt.mapInArrow(run, dealt.schema)
 
 
-def archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write pages as archives in the shared folder, read them back and give the merged capture index."""
-    path = fresh_path(pages.sparkSession, "warc")
-    write(pages, path, min_bytes)
-    return capture_index(materialize(read(pages.sparkSession, path), "captures"))
+def archive(pages: DataFrame, min_bytes: int = 0, path: str | None = None) -> DataFrame:
+    """Write pages as archives to path, read them back and give the merged capture index; without a path the archives go once read."""
+    target = path or fresh_path(pages.sparkSession, "warc")
+    write(pages, target, min_bytes)
+    captures = materialize(read(pages.sparkSession, target), "captures")
+    if path is None:
+        drop_path(pages.sparkSession, target)
+    return capture_index(captures)
