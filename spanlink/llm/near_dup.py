@@ -9,7 +9,7 @@ A half key that only one text has cannot be part of a shared table and is droppe
 Inside a bucket pairs are not enumerated: each round compares all members with one leader, on full shingle sets. Only
 buckets whose members are still in different components go on, with the member nearest to earlier leaders as the next
 leader. What is left after `rounds` leaders goes through an exact prefix filter on full shingle sets, so no link of
-texts that met is lost.
+texts that met is lost: the links that are lost are those of texts that meet in no table and have no path of links.
 
 Inputs: null, empty and blank texts have the empty set and are linked with nothing; equal sets are one class before any
 hashing, whatever the group's size; rows that repeat a doc_id count as one document with the smallest of their
@@ -23,18 +23,21 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, discard, materialize
+from .common import broadcast_if_small, discard, lean, materialize
 from .components import components
 from .hashing import mix, shingle_sets
 
 ROWS, HALVES, ROUNDS = 3, 10, 2
 #: A broadcast side has at most so many ids (about 30 bytes each in memory); above that the join is shuffled.
 MAX_BROADCAST_IDS = 500_000
+#: Classes of so many equal sets get their smallest doc_id by a broadcast; texts in more pairs than this are compared by several tasks.
+HOT = 512
 _rng = np.random.Generator(np.random.PCG64(977))
 _XOR = _rng.integers(1, 2**64, 4096, dtype=np.uint64)
 _ODD = _rng.integers(1, 2**64, 4096, dtype=np.uint64) | np.uint64(1)
@@ -61,7 +64,7 @@ def sketches(docs: DataFrame, k: int, rows: int, halves: int) -> DataFrame:
     """doc_id, set size n, 128-bit digest of the set, half keys (null for the empty set)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             n, d1, d2, keys = [], [], [], []
             for grams in shingle_sets(batch.column(1), k):
                 n.append(len(grams))
@@ -74,27 +77,44 @@ def sketches(docs: DataFrame, k: int, rows: int, halves: int) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with their similarity on full sets and whether they are linked; each text is shuffled once a pair.
+    """Pairs (a, b) with their similarity on full sets and whether they are linked.
 
-    Texts of no pair are left out before the shuffle as long as the ids to keep are few enough to broadcast.
+    Texts of no pair are left out before the shuffle as long as the ids to keep are few enough to broadcast. A pair takes the
+    text of its end that is in fewer pairs along to the other end. Pairs of a text in more than HOT pairs are dealt to several
+    tasks, HOT each, and its text is copied once for each of these; its set is made once for the pairs of a batch.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ids = broadcast_if_small(ids, MAX_BROADCAST_IDS)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    degree = materialize(ends.groupBy("doc_id").agg(F.count("*").alias("times")), "degrees")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(broadcast_if_small(degree.select("doc_id"), MAX_BROADCAST_IDS), "doc_id", "left_semi")
+    hot = degree.where(F.col("times") > HOT).select("doc_id", F.ceil(F.col("times") / HOT).cast("int").alias("parts"))
+    hot = broadcast_if_small(hot, MAX_BROADCAST_IDS)
+    known = pairs.join(hot.select(F.col("doc_id").alias("a"), F.col("parts").alias("pa")), "a", "left").join(hot.select(F.col("doc_id").alias("b"), F.col("parts").alias("pb")), "b", "left")
+    turn = F.coalesce("pb", F.lit(1)) > F.coalesce("pa", F.lit(1))
+    dealt = known.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("hub"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("end"), F.greatest(F.coalesce("pa", F.lit(1)), F.coalesce("pb", F.lit(1))).alias("parts"))
+    dealt = dealt.select("hub", "end", F.pmod(F.xxhash64("end"), F.col("parts")).cast("int").alias("part"))
+    carried = dealt.join(texts.select(F.col("doc_id").alias("end"), F.col("text").alias("te")), "end")
+    hubs = texts.join(hot, "doc_id", "left").select(F.col("doc_id").alias("hub"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.col("text").alias("th"))
+    both = carried.join(hubs, ["hub", "part"]).select("hub", "end", "th", "te")
 
     def run(batches):
-        for batch in batches:
+        last, mine = None, None
+        for batch in lean(batches):
             jac, linked = [], []
-            for ga, gb in zip(shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k), strict=True):
+            for hub, th, gb in zip(batch.column(0).to_pylist(), batch.column(2), shingle_sets(batch.column(3), k), strict=True):
+                if hub != last:
+                    last, mine = hub, next(shingle_sets(pa.array([th.as_py()], pa.string()), k))
+                ga = mine
                 common = np.intersect1d(ga, gb, assume_unique=True).size
                 union = len(ga) + len(gb) - common
                 jac.append(common / max(1, union))
                 linked.append(union > 0 and 100 * common >= percent * union)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(jac, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "jac", "linked"])
+            a, b = (f(batch.column(0), batch.column(1)) for f in (pc.min_element_wise, pc.max_element_wise))
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(jac, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "jac", "linked"])
 
-    return both.mapInArrow(run, "a long, b long, jac double, linked boolean")
+    checked = materialize(both.mapInArrow(run, "a long, b long, jac double, linked boolean"), "checked")
+    discard(degree)
+    return checked
 
 
 def _near_sizes(n: Column, m: Column, percent: int) -> Column:
@@ -126,15 +146,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, rows: int =
         discard(sketch)
         sketch = materialize(sketches(docs, k, rows, halves), "sketches")
         known = sketch.where("doc_id is not null")
-    classes = known.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
+    classes = materialize(known.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "classes")
     reps = known.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "halves")
     comps = _link(docs, reps, k, percent, rounds)
-    with_class = known.join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("class_id"))
+    # sets that stand alone need no look-up; a large class is looked up where its documents are, not in one task
+    digest, known = ["n", "d1", "d2"], known.select("doc_id", "n", "d1", "d2")
+    large = broadcast_if_small(classes.where(F.col("c") >= HOT).select(*digest, "rep"), MAX_BROADCAST_IDS)
+    small = classes.where(F.col("c").between(2, HOT - 1)).select(*digest, "rep")
+    looked = known.join(large, digest).unionByName(known.join(large, digest, "left_anti").join(small, digest, "left"))
+    with_class = looked.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("class_id"))
     joined = with_class.join(comps.select(F.col("id").alias("class_id"), "comp"), "class_id", "left") if comps is not None else with_class.withColumn("comp", F.lit(None).cast("long"))
     out = joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "class_id").alias("component_id"), "class_id")
     out = out.unionByName(sketch.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("long").alias("class_id")))
     groups = materialize(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id"), "groups")
-    discard(sketch, unique, comps)
+    discard(sketch, unique, classes, comps)
     return groups
 
 
@@ -156,7 +181,7 @@ def _link(docs: DataFrame, reps: DataFrame, k: int, percent: int, rounds: int) -
             if open_rows.isEmpty():
                 break
             continue
-        checked = materialize(_similar(pairs, docs, k, percent), "checked")
+        checked = _similar(pairs, docs, k, percent)
         discard(pairs)
         rounds_checked.append(checked)
         linked = checked.where("linked").select("a", "b")
@@ -187,7 +212,7 @@ def _prefix_pairs(docs: DataFrame, rest: DataFrame, k: int, percent: int) -> Dat
     ids = broadcast_if_small(rest.select(F.col("rep").alias("doc_id")), MAX_BROADCAST_IDS)
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             sets = pa.array([g.view(np.int64) for g in shingle_sets(batch.column(1), k)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["rep", "hs"])
 
