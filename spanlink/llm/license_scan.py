@@ -6,10 +6,10 @@ words of each other and whose hits touch are merged into a span, which is verifi
 that the span holds. A verified span adds the template's label. Phrases of the base rule are found beside it and always
 keep their labels.
 
-Inputs: a null text is empty; texts without words have zero counts, no labels and score 0; rows are told apart by a hash
-of doc_id and text, so rows that repeat a doc_id are scanned each on their own and equal rows get equal results; null
-doc_ids are scanned too. Other columns are
-ignored. Empty tables give empty tables.
+Inputs: a null text is empty; texts without words have zero counts, no labels and score 0; rows are told apart by doc_id and
+a hash of the text, so rows that repeat a doc_id are scanned each on their own and equal rows get equal results; null doc_ids
+are scanned too. Spans of several templates over the same words all count. Other columns are ignored. Empty tables give empty
+tables.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ def _base(words: Column, joined: Column, phrases=PHRASES) -> dict[str, Column]:
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int = K, near: int = NEAR, share: float = SHARE) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     rows = docs.select("doc_id", F.col("text").alias("text"))
-    worded = rows.select("doc_id", F.xxhash64(F.col("doc_id"), F.col("text")).alias("row"), words_of(F.col("text")).alias("words"))
+    worded = rows.select("doc_id", F.struct("doc_id", F.xxhash64("text").alias("text")).alias("row"), words_of(F.col("text")).alias("words"))
     joined = worded.withColumn("joined", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
     labels = sorted({label for _, label in phrases})
     by = {}
