@@ -7,7 +7,8 @@ the whole documents meet the sketches in a hash join; pairs with enough hits are
 
 Inputs: null, empty and blank items match nothing; an item of 1 to k-1 words is one gram of its own length and matches
 documents in which these words stand together; null and empty documents match nothing; rows that share a doc_id (or an
-item_id) count as one document (or item); rows with a null id never match. Other columns are ignored.
+item_id) count as one document (or item); rows with a null id never match, but `clean` gives them an id of their own. Other
+columns are ignored. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -79,9 +80,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose doc_id holds an item; all columns stay, null doc_ids too."""
-    bad = materialize(contaminated(docs, benchmark, k, percent).select("doc_id").distinct(), "contaminated")
-    return docs.join(broadcast_if_small(bad, MAX_BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows whose text holds an item; all columns stay.
+
+    Rows are told apart by doc_id and a hash of the text, so each row of a repeated doc_id is judged by its own text, and so
+    are rows without a doc_id.
+    """
+    row = F.struct("doc_id", F.xxhash64("text").alias("text"))
+    bad = contaminated(docs.select(row.alias("doc_id"), "text"), benchmark, k, percent).select("doc_id").distinct()
+    bad = materialize(bad.select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.text").alias("__text")), "contaminated")
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__text"))
+    return docs.join(broadcast_if_small(bad, MAX_BROADCAST_ROWS), same, "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""
