@@ -8,7 +8,8 @@ then its first blocks fill the quota. Only (doc_id, source, size) rows are shuff
 
 Inputs: null, empty and blank texts have size 0 and are never taken; a null source is a source of its own, the last one;
 rows that repeat a doc_id, null ids among them, are each a document of the mix: equal (doc_id, size) rows share one
-interval each in turn, ordered by doc_id and size. Columns of the input that are not needed are ignored. Empty tables give
+interval each in turn, ordered by doc_id and size. Texts of any length count in full, and a long one is one document. More
+than MAX_SOURCES sources raise. Columns of the input that are not needed are ignored. Empty tables give
 empty tables.
 """
 
@@ -21,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACES, materialize
+from .common import NOT_SPACES, broadcast_if_small, materialize
 
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Rows of a shard, about; and cells at most, which bounds what the driver apportions.
 SHARD_ROWS, MAX_CELLS = 256, 100_000
+#: Sources at most: the weights are of sources in order, so their sizes meet on the driver. More of them raise.
+MAX_SOURCES = 100_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> list[float]:
@@ -68,7 +71,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(NOT_SPACES + "+")).cast("long").alias("size"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("row"))
     sized = materialize(sized, "sizes")
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()  # one row a source
+    by_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()  # one row a source
+    if len(by_source) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: give documents a coarser source before they are mixed")
     order = sorted(by_source, key=lambda r: (r["source"] is None, r["source"] or ""))
     want = targets([r["size"] for r in order], weights, most)
     per_shard = max(shard_rows, ceil(sum(r["rows"] for r in order) / MAX_CELLS))
@@ -76,7 +81,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
         [(r["source"], i, r["size"], t, max(1, ceil(r["rows"] / per_shard))) for i, (r, t) in enumerate(zip(order, want, strict=True))],
         "source string, source_no int, source_size long, target double, shards int")
     same = F.col("d.source").eqNullSafe(F.col("s.source"))
-    placed = sized.alias("d").join(F.broadcast(known).alias("s"), same).select("d.doc_id", "d.source", "d.size", "d.row", "s.source_no", "s.source_size", "s.target", F.pmod(F.xxhash64("d.row", F.lit(seed)), F.col("s.shards")).alias("shard"))
+    placed = sized.alias("d").join(broadcast_if_small(known, 2 * MAX_CELLS).alias("s"), same).select("d.doc_id", "d.source", "d.size", "d.row", "s.source_no", "s.source_size", "s.target", F.pmod(F.xxhash64("d.row", F.lit(seed)), F.col("s.shards")).alias("shard"))
     cells = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("size")).orderBy("source_no", "shard").collect()  # at most MAX_CELLS and one a source
     total = sum(r["size"] for r in order)
     block = block or max(1, total // (512 * max(1, len(cells))))
@@ -86,7 +91,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     rows = [(c["source_no"], c["shard"], int(c["size"]), int(q) * block) for c, q in zip(cells, quota, strict=True)]
     quotas = docs.sparkSession.createDataFrame(rows, "source_no int, shard long, cell_size long, quota long")
     before = F.sum("size").over(W.partitionBy("source_no", "shard").orderBy(F.xxhash64("row", F.lit(seed + 1)), "doc_id", "size").rowsBetween(W.unboundedPreceding, -1))
-    streamed = placed.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(quotas), ["source_no", "shard"])
+    streamed = placed.withColumn("before", F.coalesce(before, F.lit(0))).join(broadcast_if_small(quotas, 2 * MAX_CELLS), ["source_no", "shard"])
     passes = F.floor(F.col("quota") / F.greatest(F.col("cell_size"), F.lit(1)))
     rest = F.col("quota") - passes * F.col("cell_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
