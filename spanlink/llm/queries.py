@@ -48,7 +48,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_bucket(F.col("doc_id"), 3) == 1)
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_bucket(F.col("doc_id"), 3) == 1, F.lit(False)))
     model = language_id.train(docs.where("not held_out"))
     return language_id.identify(docs, model, keep=("doc_id", "held_out"))
 
@@ -57,7 +57,7 @@ QUERIES |= {"op7_warc": op7_warc, "op1_language_id": op1_language_id}
 
 
 def op6_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_bucket(F.col("doc_id"), 5) == 0)
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_bucket(F.col("doc_id"), 5) == 0, F.lit(False)))
     labels = table(spark, sf_dir, "labels").where(crc_bucket(F.col("doc_id"), 5) != 0)
     net = quality_net.train(docs.where("not held_out"), labels)
     return quality_net.score(docs, net, threshold=0.3, keep=("doc_id", "held_out"))
