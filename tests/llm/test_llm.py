@@ -63,7 +63,7 @@ def test_decontamination_against_brute_force(spark):
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
     assert got == {(1, 1), (3, 2), (4, 2), (6, 5)}
     kept = decontaminate.clean(spark.createDataFrame(texts, "doc_id long, text string"), bench)
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "5", "None"]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "5"]
     assert decontaminate.contaminated(odd_docs(spark), bench.limit(0)).count() == 0
     assert decontaminate.contaminated(empty(spark), bench).count() == 0 and decontaminate.contaminated(odd_docs(spark), bench).count() == 0
 
@@ -195,8 +195,13 @@ def test_language_id(spark):
     assert odd[1]["lang_pred"] == odd[2]["lang_pred"] == odd[3]["lang_pred"] == "und" and odd[1]["score"] == 0
     none = language_id.train(odd_docs(spark).where("lang is null"))
     assert {r["lang_pred"] for r in language_id.identify(odd_docs(spark), none).collect()} == {"und"}
-    for words in (["the"], ["a", "zq"]):  # the probabilities of what follows a context sum to one over the known characters
-        assert np.isfinite(model.word_costs(words)).all()
+    rows = d.where("not held and text is not null").collect()
+    alphabet = sorted({c for r in rows for w in language_id.tokens(r["text"]) for c in w})
+    for context in ("", "t", "th", "zzq"):  # what follows a context: a known character, the end mark or an unknown character
+        codes, starts = language_id._codes([context + c for c in alphabet])
+        known = model.probabilities(codes, starts)[starts[:-1] + len(context) + 1].sum(axis=0)
+        end, unknown = (model.probabilities(*language_id._codes([context + c]))[len(context) + 1] for c in ("", "\uffff"))
+        assert (abs(known + end + unknown - 1) < 0.01).all()  # the alphabet has characters of the calibration texts besides
 
 
 def test_language_id_keeps_rare_languages(spark):
@@ -219,13 +224,19 @@ def test_quality_net(spark):
 
 def test_quality_net_sees_every_window():
     rng = np.random.default_rng(8)
-    net = quality_net.Net(np.eye(256, 4, dtype=np.float32), rng.normal(size=(32, 16)).astype(np.float32), np.zeros(16, np.float32), np.zeros(51, np.float32), 0.0)
+    n_filters = quality_net.FILTERS
+    net = quality_net.Net(np.eye(256, 4, dtype=np.float32), rng.normal(size=(32, n_filters)).astype(np.float32), np.zeros(n_filters, np.float32), np.zeros(2 * n_filters, np.float32))
     net.embed[ord("!")] = 9
     for n in (40, 20_000):  # a pattern gives the same largest activations at any offset
         body = lambda at: np.frombuffer(b" " * at + b"!" + b" " * (n - at - 1), np.uint8)  # noqa: E731, B023
-        tops = [quality_net.features(net, body(at))[32:] for at in range(10, 18)]
+        tops = [quality_net.row_of(net, body(at))[n_filters:] for at in range(10, 18)]
         assert np.allclose(tops, tops[0])
-        assert np.allclose(quality_net.features(net, body(10)), quality_net.features(net, body(10), True)[0], rtol=1e-3)
+    body = rng.integers(0, 256, 3000).astype(np.uint8)
+    act = np.stack([net.embed[body[i : i + 8]].reshape(32) @ net.conv for i in range(3000 - 7)])  # window by window
+    chunks = [body_act.max(axis=0) for body_act in (act[at : at + quality_net.STEP] for at in range(0, len(act), quality_net.STEP))]
+    assert np.allclose(np.maximum(chunks, 0), quality_net.pooled(net, body), atol=1e-3)
+    high, where, windows = quality_net.pooled(net, body, True)
+    assert np.allclose(np.take_along_axis(act, where, 0).clip(0), high, atol=1e-3) and (windows[where[0, 0]] == body[where[0, 0] : where[0, 0] + 8]).all()
 
 
 def test_html_text(spark):
