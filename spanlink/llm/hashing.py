@@ -26,12 +26,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes of consecutive words that are hashed at once; a longer word is hashed alone.
+PART = 1 << 18
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n and more of the multiplier and its inverse; those of PART bytes stay with the worker."""
     global _powers
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        _powers = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, m, np.uint64)])) for m in (_MULT, _INVERSE))
-    return _powers
+    if len(_powers[0]) > n:
+        return _powers
+    made = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, PART), m, np.uint64)])) for m in (_MULT, _INVERSE))
+    if n <= PART:
+        _powers = made
+    return made
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,13 +62,20 @@ def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     before = np.concatenate([[True], space[:-1]]) | edge[:-1]
     after = np.concatenate([space[1:], [True]]) | edge[1:]
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    up, down = _power_tables(len(body) + 1)
-    total = np.zeros(len(body) + 1, np.uint64)
-    np.cumsum(_BYTE[body] * up[: len(body)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts]), np.searchsorted(starts, offsets)
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + PART, "right")))
+        part, a, b = body[base : ends[to - 1]], starts[at:to] - base, ends[at:to] - base
+        up, down = _power_tables(len(part))
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
+        out[at:to] = (total[b] - total[a]) * down[a]
+        at = to
+    return mix(out), np.searchsorted(starts, offsets)
 
 
-def slices(texts: pa.Array, most: int = 1 << 20):
+def slices(texts: pa.Array, most: int = PART):
     """Consecutive slices of at most `most` bytes of text, each one text at least: (first row, array)."""
     offsets = text_buffer(texts)[1]
     at = 0
