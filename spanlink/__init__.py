@@ -15,7 +15,7 @@ _shipped: set[str] = set()
 def ship(spark) -> None:
     """Send this package to the executors' Python workers, once for each application."""
     # texts are long: small Arrow batches bound what an executor and its Python workers hold
-    for key, value in (("maxRecordsPerBatch", "500"), ("maxBytesPerBatch", str(4 << 20))):
+    for key, value in (("maxRecordsPerBatch", "500"), ("maxBytesPerBatch", str(1 << 20))):
         spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
     app = spark.sparkContext.applicationId
     if app in _shipped:
