@@ -24,25 +24,40 @@ def apply_exclusivity(df: DataFrame, score: str = "score") -> DataFrame:
     return df.withColumn("__keep", exclusive_mask(score)).where("__keep").drop("__keep")
 
 
+#: Chances below this are left out of expected F.
+LEAST_MASS = 1e-12
+
+
 def success_counts(p: np.ndarray) -> np.ndarray:
     """Distribution of the number of successes of independent trials."""
-    out = np.ones(1)
+    return _running_counts(p)[-1]
+
+
+def _running_counts(p: np.ndarray) -> list[np.ndarray]:
+    """success_counts of the first 0, 1, ... len(p) trials."""
+    out = [np.ones(1)]
     for x in p:
-        out = np.convolve(out, (1 - x, x))
+        last = out[-1]
+        grown = np.zeros(len(last) + 1)
+        grown[:-1] = last * (1 - x)
+        grown[1:] += last * x
+        out.append(grown)
     return out
 
 
 def best_count(p: np.ndarray, extra_miss: float, beta: float, allow_empty: bool = True) -> tuple[int, float]:
-    """How many of the sorted probabilities to select for the largest expected F, and its value; fewer wins ties."""
+    """How many of the sorted probabilities to select for the largest expected F, and its value; fewer wins ties.
+
+    The distributions of hits among the first k and of misses among the others come from one pass from each end.
+    """
     b2 = beta * beta
     best, value = (0, float(np.prod(1 - p)) * math.exp(-extra_miss)) if allow_empty else (0, -1.0)
+    first, rest = _running_counts(p), _running_counts(p[::-1])
     for k in range(1, len(p) + 1):
-        inside, outside = success_counts(p[:k]), success_counts(p[k:])
-        tp, fn = np.arange(len(inside))[:, None], np.arange(len(outside))[None]
-        mass = inside[:, None] * outside[None]
-        f = (1 + b2) * tp / ((1 + b2) * tp + b2 * (fn + extra_miss) + k - tp)
-        got = float((mass * f)[mass >= 1e-12].sum())
-        if got > value:
+        inside, outside = (np.where(x < LEAST_MASS, 0.0, x) for x in (first[k], rest[len(p) - k]))
+        tp, fn = np.arange(k + 1)[:, None], np.arange(len(p) - k + 1)[None]
+        got = float(inside @ ((1 + b2) * tp / (k + b2 * (tp + fn + extra_miss))) @ outside)
+        if got > value + LEAST_MASS:
             best, value = k, got
     return best, value
 
@@ -64,7 +79,7 @@ def _count_udf(extra_miss: float, beta: float, floor: float, gated: bool):
                     known[key] = k if pi * value > 1 - pi else 0
             return known[key]
 
-        return pd.Series([one(p, e) for p, e in zip(scores, existence, strict=True)])
+        return pd.Series([None if p is None else one(p, e) for p, e in zip(scores, existence, strict=True)], dtype="Int32")
 
     return run
 
@@ -72,13 +87,17 @@ def _count_udf(extra_miss: float, beta: float, floor: float, gated: bool):
 def expected_f_select(df: DataFrame, score: str = "score", beta: float = 0.5, k_max: int = 25, extra_miss: float = 0.0, floor: float = 1e-3, existence: DataFrame | None = None) -> DataFrame:
     """Adds selected: the query's first k rows (score descending, target ascending), k for the largest expected F.
 
-    Each query sends its k_max best scores through one Arrow UDF. existence (q, existence) turns on the gated form.
+    The k_max best scores of a query, in order, stand in its first row alone, by the window that ranks the rows; these rows go
+    through one Arrow UDF and k spreads over the same partitions, so edges are shuffled once. Queries of equal scores are
+    decided once a task. existence (q, existence) turns on the gated form.
     """
-    ranked = df.withColumn("__n", F.row_number().over(W.partitionBy("q").orderBy(F.desc(score), "t")))
-    top = ranked.where(F.col("__n") <= k_max).groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", F.col(score).alias("p")))), lambda s: s["p"]).alias("ps"))
-    top = top.join(existence.select("q", "existence"), "q", "left") if existence is not None else top.withColumn("existence", F.lit(None).cast("double"))
-    counts = top.select("q", _count_udf(extra_miss, beta, floor, existence is not None)("ps", "existence").alias("__k"))
-    return ranked.join(counts, "q").withColumn("selected", F.col("__n") <= F.col("__k")).drop("__n", "__k")
+    by_q = W.partitionBy("q")
+    order = by_q.orderBy(F.desc(score), "t")
+    ahead = F.collect_list(score).over(order.rowsBetween(0, k_max - 1))
+    ranked = df.withColumn("__n", F.row_number().over(order)).withColumn("__ps", F.when(F.col("__n") == 1, ahead))
+    ranked = ranked.join(existence.select("q", F.col("existence").alias("__e")), "q", "left") if existence is not None else ranked.withColumn("__e", F.lit(None).cast("double"))
+    counted = ranked.withColumn("__k", _count_udf(extra_miss, beta, floor, existence is not None)("__ps", "__e"))
+    return counted.withColumn("selected", F.col("__n") <= F.max("__k").over(by_q)).drop("__n", "__k", "__ps", "__e")
 
 
 def decode_pairs(df: DataFrame, strategy: str = "expected_f_exclusive", threshold: float = 0.5, beta: float = 0.5, k_max: int = 25, extra_miss: float = 0.0, existence: DataFrame | None = None) -> DataFrame:
@@ -145,7 +164,7 @@ def ambiguity(df: DataFrame) -> DataFrame:
 
 def ambiguous_queries(df: DataFrame, fraction: float = 0.2, max_queries: int = 500_000) -> DataFrame:
     a = ambiguity(df)
-    return a.orderBy(F.desc("ambiguity"), "q").limit(min(max_queries, math.floor(df.select("q").distinct().count() * fraction)))
+    return a.orderBy(F.desc(F.round("ambiguity", 9)), "q").limit(min(max_queries, math.floor(df.select("q").distinct().count() * fraction)))
 
 
 def split_for(key: Column, seed: int) -> Column:
