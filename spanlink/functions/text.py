@@ -52,7 +52,7 @@ def normalize_native(v: Column) -> Column:
 def basic(v: Column) -> Column:
     """normalize_native, with the literals nan and <na> as missing."""
     v = F.coalesce(v.cast("string"), F.lit(""))
-    return normalize_native(F.when(F.lower(F.trim(v)).isin("nan", "<na>"), "").otherwise(v))
+    return normalize_native(F.when(F.lower(v).isin("nan", "<na>"), "").otherwise(v))
 
 
 def accent_fold(v: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import numbers, words
+
 
 def query_counts(queries: DataFrame, truth: DataFrame, predicted: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """(q, n_true, n_pred, n_tp[, n_found]) for each query; truth and predictions of unknown queries are an error of the caller."""
@@ -62,10 +64,10 @@ def entity_error_table(truth: DataFrame, predicted: DataFrame, metadata: DataFra
 
 
 def slice_report(errors: DataFrame, columns: tuple[str, ...] = ("country", "script", "true_count")) -> DataFrame:
-    """(slice, value, entities, macro_f05) of the columns that exist, from one pass over grouping sets."""
+    """(slice, value, queries, macro_f05) of the columns that exist, from one pass: each row counts once a slice."""
     have = [c for c in columns if c in errors.columns]
     each = errors.select("f05", F.explode(F.array(*[F.struct(F.lit(c).alias("slice"), F.col(c).cast("string").alias("value")) for c in have])).alias("s"))
-    return each.groupBy(F.col("s.slice").alias("slice"), F.col("s.value").alias("value")).agg(F.count("*").alias("entities"), F.avg("f05").alias("macro_f05"))
+    return each.groupBy(F.col("s.slice").alias("slice"), F.col("s.value").alias("value")).agg(F.count("*").alias("queries"), F.avg("f05").alias("macro_f05"))
 
 
 def link_coverage(truth: DataFrame, queries: DataFrame, targets: DataFrame, fields: tuple[str, ...] = ("name", "address", "core", "digits", "country")) -> DataFrame:
@@ -79,33 +81,67 @@ def link_coverage(truth: DataFrame, queries: DataFrame, targets: DataFrame, fiel
     return rows.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("share"), F.col("links")) for f in same])).alias("r")).select("r.*")
 
 
-def retrieval_benchmark(ranked: DataFrame, truth: DataFrame, queries: DataFrame, target_count: int, views: tuple[str, ...] = ("name", "address", "combined"), ks: tuple[int, ...] = (1, 3, 5, 10, 15)) -> DataFrame:
-    """(view, k, recall, mean_candidates, reduction_ratio): a candidate counts at k in a view when its rank there is k or less; view any takes the best rank."""
-    best = F.least(*[F.col(f"rank_{v}") for v in views]) if len(views) > 1 else F.col(f"rank_{views[0]}")
-    long = ranked.join(truth.select("q", "t").distinct().withColumn("__hit", F.lit(1)), ["q", "t"], "left").select(
-        "q", "__hit", F.explode(F.array(*[F.struct(F.lit(v).alias("view"), F.col(f"rank_{v}").alias("rank")) for v in views], F.struct(F.lit("any").alias("view"), best.alias("rank")))).alias("s"))
-    n_true, n_q = truth.select("q", "t").distinct().count(), queries.select("q").distinct().count()
-    each = long.select("__hit", "s.*").groupBy("view").agg(*[F.count_if(F.col("rank") <= k).alias(f"c{k}") for k in ks], *[F.count(F.when(F.col("rank") <= k, F.col("__hit"))).alias(f"h{k}") for k in ks])
-    rows = each.select("view", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("c"), F.col(f"h{k}").alias("h")) for k in ks])).alias("r"))
-    return rows.select("view", "r.k", (F.col("r.h") / max(1, n_true)).alias("recall"), (F.col("r.c") / max(1, n_q)).alias("mean_candidates"), (1 - F.col("r.c") / (max(1, n_q) * max(1, target_count))).alias("reduction_ratio"))
-
+def retrieval_benchmark(ranked: DataFrame, truth: DataFrame, queries: DataFrame, target_count: int, views: tuple[str, ...] = ("name", "address", "combined"), ks: tuple[int, ...] = (1, 3, 5, 10, 15), levels: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99, 1.0)) -> DataFrame:
+    """(view, k, recall, mean_candidates, reduction_ratio, quantiles, by_country): a candidate counts at k in a view when its rank there is k or less.
 
-def error_kinds(truth: DataFrame, predicted: DataFrame, candidates: DataFrame, features: DataFrame) -> DataFrame:
-    """(kind, pairs): the kinds of wrong and missed links. features: (q, t) with the lexical columns of candidates."""
+    recall is the share of true links found, mean_candidates a mean over queries. View union takes the best rank and the rows of
+    a column `exact`, where ranked has one. quantiles are those of the number of candidates a query, interpolated; by_country has
+    the recall of each country where queries have one.
+    """
+    named = "country" in queries.columns
+    asked = queries.select("q", F.col("country") if named else F.lit("").alias("country")).dropDuplicates(["q"])
+    exact = F.coalesce("exact", F.lit(False)) if "exact" in ranked.columns else F.lit(False)
+    best = F.least(*[F.col(f"rank_{v}") for v in views]) if len(views) > 1 else F.col(f"rank_{views[0]}")
+    known = truth.select("q", "t").distinct().withColumn("__hit", F.lit(1))
+    each = [F.struct(F.lit(v).alias("view"), F.col(f"rank_{v}").alias("rank")) for v in views] + [F.struct(F.lit("union").alias("view"), F.when(exact, 0).otherwise(best).alias("rank"))]
+    long = ranked.join(known, ["q", "t"], "left").select("q", "__hit", F.explode(F.array(*each)).alias("s")).select("q", "__hit", "s.*")
+    counts = long.groupBy("q", "view").agg(*[F.count_if(F.col("rank") <= k).alias(f"c{k}") for k in ks], *[F.count(F.when(F.col("rank") <= k, F.col("__hit"))).alias(f"h{k}") for k in ks])
+    sizes = known.groupBy("q").agg(F.count("*").alias("n"))
+    base = asked.join(sizes, "q", "left").withColumn("view", F.explode(F.array(*[F.lit(v) for v in (*views, "union")])))
+    per = base.join(counts, ["q", "view"], "left").na.fill(0)
+    rows = per.select("view", "country", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("c"), F.col(f"h{k}").alias("h")) for k in ks])).alias("r")).select("view", "country", "n", "r.*")
+    found = (F.sum("h") / F.greatest(F.lit(1), F.sum("n"))).alias("recall")
+    asked_n = F.count("*")
+    out = rows.groupBy("view", "k").agg(found, F.avg("c").alias("mean_candidates"), (1 - F.sum("c") / F.greatest(F.lit(1), asked_n * target_count)).alias("reduction_ratio"), F.percentile("c", F.array(*[F.lit(x) for x in levels])).alias("quantiles"))
+    if not named:
+        return out
+    places = rows.groupBy("view", "k", "country").agg(found).groupBy("view", "k").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("country", "recall")))).alias("by_country"))  # one entry a country
+    return out.join(places, ["view", "k"])
+
+
+#: What error_kinds counts: the first three are kinds of queries, the others kinds and tags of wrong or missed links.
+ERROR_KINDS = ("false_singleton", "false_merge_singleton", "multi_match_partial", "false_positive", "blocking_failure", "matching_failure", "exact_name", "exact_address", "number_mismatch", "legal_suffix", "reordered_tokens", "country_mismatch")
+
+
+def _query_kinds(queries: DataFrame, truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    true, pred, hit = (F.col(c) for c in ("n_true", "n_pred", "n_tp"))
+    kinds = {"false_singleton": (true > 0) & (pred == 0), "false_merge_singleton": (true == 0) & (pred > 0), "multi_match_partial": (true > 1) & (hit > 0) & (hit < true)}
+    counts = query_counts(queries, truth, predicted)
+    return counts.select(F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()]))).alias("kind"))
+
+
+def wrong_links(queries: DataFrame, targets: DataFrame, truth: DataFrame, predicted: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(q, t, kind, tags) of links that are wrong or missed; queries and targets are prepared records (name, address, core, country)."""
     mark = lambda df, c: df.select("q", "t").distinct().withColumn(c, F.lit(True))
-    no = F.lit(False)
-    sizes = truth.select("q", "t").distinct().groupBy("q").agg(F.count("*").alias("n_true"))
-    wrong = mark(truth, "a").join(mark(predicted, "b"), ["q", "t"], "full").join(mark(candidates, "c"), ["q", "t"], "left").join(sizes, "q", "left").join(features, ["q", "t"], "left")
-    wrong = wrong.where(F.coalesce("a", no) != F.coalesce("b", no))
-    a, b, c, n = F.coalesce("a", no), F.coalesce("b", no), F.coalesce("c", no), F.coalesce("n_true", F.lit(0))
-    col = lambda x: F.coalesce(F.col(x), F.lit(0)) if x in features.columns else F.lit(0)
-    kinds = {
-        "false_singleton": a & (n == 1), "false_merge_singleton": b & (n == 0), "multi_match_partial": a & (n > 1), "false_positive": b & ~a, "blocking_failure": a & ~c, "matching_failure": a & c,
-        "exact_name": col("name_exact") == 1, "exact_address": col("address_exact") == 1, "number_mismatch": col("numeric_disagreement") > 0, "legal_suffix": (col("core_exact") == 1) & (col("name_exact") == 0),
-        "reordered_tokens": (col("name_jaccard") == 1) & (col("name_exact") == 0), "country_mismatch": (F.col("same_country") == 0) if "same_country" in features.columns else no,
+    side = lambda df, k: df.select(k, *[F.coalesce(c, F.lit("")).alias(f"{k}_{c}") for c in ("name", "address", "core", "country")])
+    both = mark(truth, "a").join(mark(predicted, "b"), ["q", "t"], "full").where("a is null or b is null").join(mark(candidates, "c"), ["q", "t"], "left")
+    rows = both.join(side(queries, "q"), "q").join(side(targets, "t"), "t", "left")
+    kind = F.when(F.col("b"), "false_positive").when(F.col("c"), "matching_failure").otherwise("blocking_failure")
+    known = F.when(F.col("t_name").isNull(), F.raise_error(F.concat(F.lit("a link names an unknown target "), F.col("t").cast("string")))).otherwise(kind)
+    same = lambda c: F.col(f"q_{c}") == F.col(f"t_{c}")
+    sorted_words = lambda c: F.array_sort(words(F.col(c)))
+    tags = {
+        "exact_name": same("name"), "exact_address": same("address"), "number_mismatch": numbers(F.col("q_address")) != numbers(F.col("t_address")), "legal_suffix": same("core") & ~same("name"),
+        "reordered_tokens": (sorted_words("q_name") == sorted_words("t_name")) & ~same("name"), "country_mismatch": ~same("country"),
     }
-    tagged = wrong.select(F.explode(F.array_compact(F.array(*[F.when(F.coalesce(x, no), F.lit(k)) for k, x in kinds.items()]))).alias("kind"))
-    return tagged.groupBy("kind").agg(F.count("*").alias("pairs"))
+    return rows.select("q", "t", known.alias("kind"), F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in tags.items()])).alias("tags"))
+
+
+def error_kinds(queries: DataFrame, targets: DataFrame, truth: DataFrame, predicted: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(kind, count): kinds of queries, each query at most once a kind, and kinds and tags of wrong or missed links."""
+    links = wrong_links(queries, targets, truth, predicted, candidates)
+    each = links.select(F.explode(F.concat(F.array("kind"), "tags")).alias("kind"))
+    return _query_kinds(queries, truth, predicted).unionByName(each).groupBy("kind").agg(F.count("*").alias("count"))
 
 
 def query_aggregates(scores: DataFrame, score: str = "score") -> DataFrame:

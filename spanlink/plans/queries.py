@@ -292,19 +292,13 @@ def error_table(spark, d):
     return evaluation.entity_error_table(truth, predicted).withColumn("f05", R6("f05"))
 
 
-@query(f"WITH {COUNTS}, m AS (SELECT f.*, o_orderpriority AS country FROM f JOIN orders ON q = o_orderkey WHERE n_true + n_pred > 0) SELECT 'country' AS slice, country AS value, count(*) AS entities, round(avg(f), 6) AS macro_f05 FROM m GROUP BY country UNION ALL SELECT 'true_count', n_true::VARCHAR, count(*), round(avg(f), 6) FROM m GROUP BY n_true")
+@query(f"WITH {COUNTS}, m AS (SELECT f.*, o_orderpriority AS country FROM f JOIN orders ON q = o_orderkey WHERE n_true + n_pred > 0) SELECT 'country' AS slice, country AS value, count(*) AS queries, round(avg(f), 6) AS macro_f05 FROM m GROUP BY country UNION ALL SELECT 'true_count', n_true::VARCHAR, count(*), round(avg(f), 6) FROM m GROUP BY n_true")
 def slices(spark, d):
     _, truth, predicted, _ = judged(spark, d)
     meta = load(spark, d, "orders").select(F.col("o_orderkey").alias("q"), F.col("o_orderpriority").alias("country"))
     return evaluation.slice_report(evaluation.entity_error_table(truth, predicted, meta)).withColumn("macro_f05", R6("macro_f05"))
 
 
-@query(f"WITH {COUNTS}, w AS (SELECT e.*, score >= 0.7 AS b, score >= 0.3 AS c, n_true FROM e JOIN c USING (q) WHERE (label = 1) <> (score >= 0.7)), k AS (SELECT unnest([CASE WHEN label = 1 AND n_true = 1 THEN 'false_singleton' END, CASE WHEN b AND n_true = 0 THEN 'false_merge_singleton' END, CASE WHEN label = 1 AND n_true > 1 THEN 'multi_match_partial' END, CASE WHEN b AND label = 0 THEN 'false_positive' END, CASE WHEN label = 1 AND NOT c THEN 'blocking_failure' END, CASE WHEN label = 1 AND c THEN 'matching_failure' END]) AS kind FROM w) SELECT kind, count(*) AS pairs FROM k WHERE kind IS NOT NULL GROUP BY kind")
-def error_kinds(spark, d):
-    _, truth, predicted, candidates = judged(spark, d)
-    return evaluation.error_kinds(truth, predicted, candidates, candidates.select("q", "t"))
-
-
 @query(f"WITH {EDGES}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, t) AS rank FROM e), k AS (SELECT unnest([1, 3, 5]) AS k) SELECT 'score' AS view, k::INT AS k, round(count(*) FILTER (rank <= k AND label = 1) / (SELECT count(*) FROM e WHERE label = 1), 6) AS recall, round(count(*) FILTER (rank <= k) / (SELECT count(*) FROM orders), 6) AS mean_candidates FROM r, k GROUP BY k")
 def retrieval_benchmark(spark, d):
     q, truth, _, _ = judged(spark, d)
@@ -400,8 +394,7 @@ def truth_cardinality(spark, d):
 @query(f"WITH {EDGES} SELECT o_orderkey AS q, coalesce((SELECT string_agg(t::VARCHAR, ',' ORDER BY t) FROM e WHERE e.q = o_orderkey AND score >= 0.7), '') AS ids FROM orders")
 def submission_lists(spark, d):
     q, _, predicted, _ = judged(spark, d)
-    lists = predicted.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_set("t")), lambda x: x.cast("string")), ",").alias("ids"))
-    return q.join(lists, "q", "left").select("q", F.coalesce("ids", F.lit("")).alias("ids"))
+    return sinks.match_lists(q, predicted)
 
 
 @query(f"WITH {EDGES}, p AS (SELECT q, t FROM e WHERE score >= 0.7 AND q % 2 = 0) SELECT 'missing query' AS rule, count(*) AS rows FROM orders WHERE o_orderkey NOT IN (SELECT q FROM p) UNION ALL SELECT 'prefix', count(*) FROM p")
