@@ -1,8 +1,9 @@
-"""Dense retrieval over stored vectors: exact blocked top-k and KMeans cells."""
+"""Dense retrieval over stored vectors: exact blocked top-k, KMeans cells, and product-quantised cells."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -112,3 +113,133 @@ def recall_report(truth: DataFrame, found: dict[str, DataFrame], by: str | None
         out = out.join(df.select("q", "t").distinct().withColumn(name, F.lit(1)), ["q", "t"], "left")
     keys = [by] if by else []
     return out.groupBy(*keys).agg(F.count("*").alias("links"), *[F.avg(F.coalesce(F.col(n), F.lit(0))).alias(f"recall_{n}") for n in [*found, "union"]])
+
+
+def encode_shards(df: DataFrame, key: str, text: str, encoder: Callable[[list[str]], np.ndarray], path: str, shards: int = 16, batch: int = 256) -> DataFrame:
+    """(id, vector) of a whole corpus in `shards` Parquet tables below path; a finished one is not encoded again."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for i in range(shards):
+        folder = f"{path}/shard={i}"
+        done = jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        if not done.getFileSystem(conf).exists(done):
+            part = df.where(F.pmod(F.xxhash64(key), F.lit(shards)) == i)
+            encode(part, key, text, encoder, batch).write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    return spark.read.parquet(path).select("id", "vector")
+
+
+@dataclass
+class Codes:
+    """A product quantiser: the residual of a vector to its cell's centre is cut into parts, each the nearest of 256 codes."""
+
+    centers: np.ndarray  # (cells, dim)
+    books: np.ndarray  # (parts, 256, dim / parts)
+
+    def encode(self, vectors: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        rest = vectors - self.centers[cells]
+        m, k, d = self.books.shape
+        out = np.empty((len(rest), m), np.int16)
+        for j in range(m):
+            x = rest[:, j * d : (j + 1) * d]
+            out[:, j] = ((self.books[j] ** 2).sum(axis=1)[None] - 2 * x @ self.books[j].T).argmin(axis=1)
+        return out
+
+    def scores(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
+        """Inner products of queries with the coded vectors of one cell, from one table of part products a query."""
+        m, k, d = self.books.shape
+        out = np.repeat((queries @ self.centers[cell])[:, None], len(codes), axis=1)
+        for j in range(m):
+            out += (queries[:, j * d : (j + 1) * d] @ self.books[j].T)[:, codes[:, j]]
+        return out
+
+
+def fit_codes(targets: DataFrame, centers: np.ndarray, parts: int, sample: int = 50_000, rounds: int = 10, seed: int = 1) -> Codes:
+    """Code books by k-means on the residuals of a seeded sample of at most `sample` vectors."""
+    rows = targets.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).select("vector").toPandas()["vector"]  # the sample bounds it
+    v = np.stack(rows.map(lambda x: np.asarray(x, np.float64)))
+    if v.shape[1] % parts:
+        raise ValueError(f"{v.shape[1]} dimensions cannot be cut into {parts} parts")
+    rest, d = v - centers[(v @ centers.T).argmax(axis=1)], v.shape[1] // parts
+    rng, books = np.random.default_rng(seed), []
+    for j in range(parts):
+        x = rest[:, j * d : (j + 1) * d]
+        book = x[rng.choice(len(x), 256, replace=len(x) < 256)]
+        for _ in range(rounds):
+            near = ((book**2).sum(axis=1)[None] - 2 * x @ book.T).argmin(axis=1)
+            count = np.bincount(near, minlength=256)
+            mean = np.stack([np.bincount(near, x[:, i], 256) for i in range(d)], 1) / np.maximum(count, 1)[:, None]
+            book = np.where(count[:, None] > 0, mean, book)
+        books.append(book)
+    return Codes(centers, np.stack(books))
+
+
+#: Coded vectors of a cell that one task compares with the queries that probe it.
+CELL_ROWS = 100_000
+
+
+def build_coded(targets: DataFrame, codes: Codes) -> DataFrame:
+    """(id, cell, part, codes): each vector in its nearest cell; cells of more than CELL_ROWS vectors are dealt to several parts."""
+    celled = assign_cells(targets, codes.centers, 1)
+
+    def run(frames):
+        for f in frames:
+            if len(f):
+                v = np.stack(f["vector"].map(lambda x: np.asarray(x, np.float64)))
+                yield pd.DataFrame({"id": f["id"].astype(str), "cell": f["cell"], "codes": list(codes.encode(v, f["cell"].to_numpy()))})
+
+    coded = celled.mapInPandas(run, "id string, cell int, codes array<smallint>")
+    sizes = coded.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))  # a row a cell
+    return coded.join(F.broadcast(sizes), "cell").select("id", "cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "parts", "codes")
+
+
+def _dot(a: str, b: str):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def coded_search(queries: DataFrame, coded: DataFrame, codes: Codes, nprobe: int, top_k: int, source: str = "dense_ivfpq", targets: DataFrame | None = None, refine: int = 10) -> DataFrame:
+    """Candidates of the nprobe nearest cells by coded inner products; each cell part keeps what it has best for a query.
+
+    With targets (id, vector), the refine * top_k best by codes are scored again by their vectors.
+    """
+    wanted = top_k * (refine if targets is not None else 1)
+    parts = coded.groupBy("cell").agg(F.first("parts").alias("parts"))
+    probes = assign_cells(queries, codes.centers, nprobe).join(F.broadcast(parts), "cell")  # a row a cell
+    probes = probes.select(F.col("id").cast("string").alias("q"), "vector", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    def compare(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(held):
+            return pd.DataFrame({"q": [], "t": [], "retrieval_score": []})
+        held = held.sort_values("id", kind="stable")
+        table, ids, found = np.stack(held["codes"].map(np.asarray)), held["id"].to_numpy(), []
+        for at in range(0, len(asked), 256):
+            part = asked.iloc[at : at + 256]
+            s = codes.scores(np.stack(part["vector"].map(lambda x: np.asarray(x, np.float64))), key[0], table)
+            best = np.argsort(-s, axis=1, kind="stable")[:, :wanted]
+            found.append(pd.DataFrame({"q": np.repeat(part["q"].to_numpy(), best.shape[1]), "t": ids[best.ravel()], "retrieval_score": np.take_along_axis(s, best, 1).ravel()}))
+        return pd.concat(found)
+
+    met = probes.groupBy("cell", "part").cogroup(coded.groupBy("cell", "part")).applyInPandas(compare, "q string, t string, retrieval_score double")
+    order = W.partitionBy("q").orderBy(F.desc("retrieval_score"), "t")
+    ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= wanted)
+    if targets is not None:
+        asked, held = queries.select(F.col("id").cast("string").alias("q"), F.col("vector").alias("v")), targets.select(F.col("id").cast("string").alias("t"), F.col("vector").alias("w"))
+        again = ranked.select("q", "t").join(asked, "q").join(held, "t").select("q", "t", _dot("v", "w").alias("retrieval_score"))
+        ranked = again.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    return ranked.select("q", "t", F.lit(source).alias("retrieval_source"), "rank", "retrieval_score")
+
+
+def save_index(coded: DataFrame, codes: Codes, path: str, encoder: str = "") -> None:
+    """A coded index with its centres and books, and the name of the encoder that made the vectors."""
+    coded.write.mode("overwrite").parquet(f"{path}/coded")
+    tables = [("centers", codes.centers.ravel().tolist(), list(codes.centers.shape)), ("books", codes.books.ravel().tolist(), list(codes.books.shape))]
+    rows = coded.sparkSession.createDataFrame([(n, v, s, encoder) for n, v, s in tables], "name string, vals array<double>, shape array<int>, encoder string")
+    rows.write.mode("overwrite").parquet(f"{path}/codes")
+
+
+def load_index(spark, path: str, encoder: str = "") -> tuple[DataFrame, Codes]:
+    """(coded, codes); an index of another encoder is refused."""
+    rows = {r["name"]: r for r in spark.read.parquet(f"{path}/codes").collect()}  # two rows
+    if rows["centers"]["encoder"] != encoder:
+        raise ValueError(f"the index is of encoder {rows['centers']['encoder']!r}")
+    table = lambda n: np.array(rows[n]["vals"]).reshape(rows[n]["shape"])
+    return spark.read.parquet(f"{path}/coded"), Codes(table("centers"), table("books"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -34,6 +35,35 @@ def _score(df: DataFrame, model, features: list[str], name: str = "score") -> Da
     return out.withColumn(name, vector_to_array("probability")[1]).drop("__x", "rawPrediction", "probability", "prediction")
 
 
+#: Names of tree settings in common configuration files, and what they are here.
+TREE_NAMES = {"n_estimators": "maxIter", "rounds": "maxIter", "learning_rate": "stepSize", "min_child_samples": "minInstancesPerNode", "min_data_in_leaf": "minInstancesPerNode", "colsample_bytree": "featureSubsetStrategy", "feature_fraction": "featureSubsetStrategy", "subsample": "subsamplingRate", "bagging_fraction": "subsamplingRate", "seed": "seed"}
+
+
+def tree_params(settings: dict) -> dict:
+    """Settings of leaf-wise trees as Spark's: a number of leaves becomes the depth that holds them; others are passed over."""
+    out = {k: v for k, v in settings.items() if k in DEFAULTS}
+    for name, value in settings.items():
+        if name == "num_leaves":
+            out["maxDepth"] = max(1, min(10, (int(value) - 1).bit_length()))
+        elif name in TREE_NAMES:
+            out[TREE_NAMES[name]] = str(value) if TREE_NAMES[name] == "featureSubsetStrategy" else value
+    return out
+
+
+def fit_trees(df: DataFrame, columns: list[str], params: dict) -> GBTClassificationModel:
+    """Boosted trees for label; an error where it has one class alone."""
+    return _fit(df, columns, params)
+
+
+def score_trees(df: DataFrame, model: GBTClassificationModel, columns: list[str]) -> DataFrame:
+    """Adds score, the probability of label 1."""
+    return _score(df, model, columns)
+
+
+def load_trees(path: str) -> GBTClassificationModel:
+    return GBTClassificationModel.load(path)
+
+
 @dataclass
 class Ensemble:
     features: list[str]
@@ -68,7 +98,7 @@ class Ensemble:
 
 def train_cross_fitted(df: DataFrame, folds: int = 5, features: list[str] | None = None, params: dict | None = None, refit_all: bool = True) -> Ensemble:
     """A model for each fold, fitted on the others; oof has each row's score from the model that has not seen it."""
-    features = features or numeric_columns(df)
+    features = features or [c for c in numeric_columns(df) if c != "fold"]
     out = Ensemble(features)
     for f in range(folds):
         model = _fit(df.where(F.col("fold") != f), features, params or {})
@@ -136,6 +166,16 @@ class QueryModels:
         return self.counts.transform(_assembled(df, self.features)).select("q", "existence", F.greatest(F.lit(0.0), F.col("prediction")).alias("expected_count"))
 
 
+def yes_no_scorer(logits: Callable[[list[str]], list[tuple[float, float]]], instruction: str = "Do the two records name the same business?") -> Callable[[list[str], list[str]], list[float]]:
+    """A scorer for rerank: probability of yes against no, from a model's logits (no, yes) of the next token after a prompt."""
+
+    def score(a: list[str], b: list[str]) -> list[float]:
+        asked = [f"{instruction}\nFirst: {x}\nSecond: {y}\nAnswer yes or no: " for x, y in zip(a, b, strict=True)]
+        return [1 / (1 + math.exp(min(700.0, max(-700.0, no - yes)))) for no, yes in logits(asked)]
+
+    return score
+
+
 def rerank(pairs: DataFrame, scorer: Callable[[list[str], list[str]], list[float]], batch: int = 16) -> DataFrame:
     """Adds rerank_score of a pluggable pair scorer over query_text and target_text; a batch that runs out of memory is halved."""
 
