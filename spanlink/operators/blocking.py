@@ -50,7 +50,11 @@ def build_index(targets: DataFrame, composites: bool = True, check: bool = True)
 
 
 def block_candidates(queries: DataFrame, index: DataFrame, block_limit: int, composites: bool = True) -> DataFrame:
-    """(q, t, block_mask, truncated). The cap depends on the key alone, so it is applied once, to the index side."""
+    """(q, t, block_mask, truncated). The cap depends on the key alone, so it is applied once, to the index side.
+
+    Spark keeps a key's first rows in each task before the shuffle (a window group limit) for caps of up to 1000, so a common
+    key sends no more than the cap from each task.
+    """
     capped = index.withColumn("n", F.row_number().over(W.partitionBy("lookup", "value").orderBy("row", "t"))).where(F.col("n") <= block_limit + 1)
     cut = F.max("n").over(W.partitionBy("lookup", "value")) > block_limit
     capped = capped.withColumn("cut", cut).where(F.col("n") <= block_limit).select("lookup", "value", "t", "cut")

@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Targets of a term that one task joins, about.
+HOT = 20_000
+
+
 def char_grams(text: Column, low: int, high: int) -> Column:
     """n-grams inside single-space padded words; a word shorter than n is one gram of its own, once."""
     padded = F.transform(F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
@@ -44,9 +48,17 @@ def fit(targets: DataFrame, key: str, text: str, low: int = 3, high: int = 5, mi
 
 
 def search(queries: DataFrame, key: str, text: str, idf: DataFrame, postings: DataFrame, top_k: int, source: str, low: int = 3, high: int = 5, sublinear: bool = False) -> DataFrame:
-    """Candidates by cosine, ranked 1 to top_k (score descending, target ascending); pairs without a common term are left out."""
+    """Candidates by cosine, ranked 1 to top_k (score descending, target ascending); pairs without a common term are left out.
+
+    Postings of a term that more than HOT targets have are dealt to several parts, each of which meets all queries of the term,
+    so no term is one task; the products are summed in each task before the shuffle.
+    """
     q = weigh(term_counts(queries, key, text, low, high), idf, sublinear)
-    met = q.select(F.col("id").alias("q"), "term", F.col("w").alias("wq")).join(postings.select(F.col("id").alias("t"), "term", "w"), "term")
+    heavy = postings.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("term", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = postings.join(heavy, "term", "left").select(F.col("id").alias("t"), "term", "w", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    asked = q.join(heavy, "term", "left").select(F.col("id").alias("q"), "term", F.col("w").alias("wq"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    met = asked.join(dealt, ["term", "part"])
     scores = met.groupBy("q", "t").agg(F.sum(F.col("wq") * F.col("w")).alias("retrieval_score"))
     ranked = scores.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc(F.round("retrieval_score", 9)), "t"))).where(F.col("rank") <= top_k)
     return ranked.select("q", "t", F.lit(source).alias("retrieval_source"), "rank", "retrieval_score")
