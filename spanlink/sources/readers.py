@@ -111,7 +111,9 @@ def smoke_records(spark: SparkSession, n: int = 12) -> tuple[DataFrame, DataFram
 
 
 DEFAULTS = {
-    "paths": {"data": "data", "out": "out"}, "validation": {"folds": 5, "seed": 42}, "retrieval": {"top_k": 120, "final_cap": 250, "rrf_k": 60},
+    "seed": 42, "paths": {"data": "data", "out": "out", "data_dir": "dataset", "work_dir": "work", "output_dir": "output"}, "runtime": {"device": "cpu"},
+    "validation": {"folds": 5, "seed": 42, "evaluation_fold": 0, "beta": 0.5}, "retrieval": {"top_k": 120, "final_cap": 250, "rrf_k": 60}, "normalization": {"keep_native": True},
+    "candidates": {"top_k": 120, "final_cap": 250, "rrf_k": 60, "sparse": {"enabled": True, "ngram_range": [2, 5], "max_features": 400_000, "top_k": 120}, "dense": {"enabled": False}}, "gbdt": {"rounds": 40, "params": {}}, "reranker": {"enabled": False},
     "decoder": {"strategy": "expected_f_exclusive", "beta": 0.5, "k_max": 25, "threshold": 0.5, "extra_miss": 0.0},
 }
 STRATEGIES = ("threshold", "threshold_exclusive", "expected_f", "expected_f_exclusive", "pi_exclusive")
@@ -130,6 +132,12 @@ class Settings:
     def __init__(self, values: dict) -> None:
         self.values = values
 
+    def path(self, name: str) -> str:
+        """The folder paths.name; an error where there is none."""
+        if not self.get(f"paths.{name}"):
+            raise KeyError(f"paths.{name} is missing")
+        return str(Path(self.get(f"paths.{name}")).expanduser().resolve())
+
     def get(self, name: str, default=None):
         at = self.values
         for part in name.split("."):
@@ -150,8 +158,14 @@ def load_settings(path: str | None = None, overrides: dict | None = None) -> Set
         values = merged(values, {"paths": {k: str(root / v) for k, v in values["paths"].items()}})
     values = merged(values, overrides or {})
     s = Settings(values)
+    if missing := [name for name in DEFAULTS if name not in s.values or not isinstance(s.values[name], type(DEFAULTS[name]))]:
+        raise ValueError(f"settings lack sections: {missing}")
     if s.get("validation.folds") < 2:
         raise ValueError("validation.folds must be 2 or more")
+    if not 0 <= s.get("validation.evaluation_fold") < s.get("validation.folds"):
+        raise ValueError("validation.evaluation_fold must be one of the folds")
+    if not 0 < s.get("candidates.top_k") <= s.get("candidates.final_cap"):
+        raise ValueError("candidates.top_k must be positive and candidates.final_cap no smaller")
     if s.get("decoder.strategy") not in STRATEGIES:
         raise ValueError(f"unknown decoder.strategy {s.get('decoder.strategy')!r}")
     if not 0 < s.get("decoder.beta"):

@@ -6,8 +6,10 @@ import csv
 import hashlib
 import json
 import os
+import re
 import tempfile
 import time
+import uuid
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -81,6 +83,26 @@ def export_jsonl(pairs: DataFrame, path: str) -> None:
     pairs.select("query_text", "target_text", F.col("label").cast("int").alias("label")).write.mode("overwrite").json(path)
 
 
+def scratch(spark) -> str:
+    """A new folder that all executors share and that goes with the application: below spark.checkpoint.dir, or a local one where the session runs on this machine alone."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{shared.rstrip('/')}/spanlink-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="spanlink-")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to a scratch folder and read back: what several later steps read is computed once."""
+    path = f"{scratch(df.sparkSession)}/{name}.parquet"
+    write_shard(df, path)
+    return df.sparkSession.read.parquet(path)
+
+
 def atomic_json(value, path: str) -> None:
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
@@ -95,6 +117,20 @@ def markdown_report(title: str, value, path: str) -> None:
     Path(path).write_text(f"# {title}\n\n```json\n{json.dumps(value, indent=2, sort_keys=True, default=str)}\n```\n")
 
 
+def markdown_sections(title: str, sections: dict, path: str) -> None:
+    """One heading and JSON block for each section."""
+    body = "\n\n".join(f"## {name}\n\n```json\n{json.dumps(value, indent=2, sort_keys=True, default=str, ensure_ascii=False)}\n```" for name, value in sections.items())
+    Path(path).write_text(f"# {title}\n\n{body}\n", encoding="utf-8")
+
+
+def csv_rows(rows: list[dict], path: str) -> None:
+    """A small report that the driver has as rows."""
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        w = csv.DictWriter(f, list(dict.fromkeys(k for r in rows for k in r)))
+        w.writeheader()
+        w.writerows(rows)
+
+
 def record_experiment(path: str, row: dict) -> None:
     """Append to a .csv or .jsonl log."""
     row = {"recorded_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())} | row
