@@ -19,7 +19,7 @@ SCRIPTS = {
     "oriya": r"\x{0B00}-\x{0B7F}", "tamil": r"\x{0B80}-\x{0BFF}", "telugu": r"\x{0C00}-\x{0C7F}", "kannada": r"\x{0C80}-\x{0CFF}",
     "malayalam": r"\x{0D00}-\x{0D7F}", "arabic": r"\x{0600}-\x{06FF}\x{0750}-\x{077F}", "latin": r"\x{0041}-\x{024F}",
 }
-NOT_WORD = r"[^\p{L}\p{N}_\s]"
+NOT_WORD = r"[^\p{L}\p{N}_]"
 FIELDS = ("name", "address", "phone", "email", "website")
 
 
@@ -46,7 +46,7 @@ def normalize_native(v: Column) -> Column:
     """NFKC, casefold, & to and, punctuation to space, single spaces; null gives the empty string."""
     v = F.coalesce(v.cast("string"), F.lit(""))
     folded = F.coalesce(_only_non_ascii(v, _fold_case), F.lower(v))
-    return F.trim(F.regexp_replace(F.regexp_replace(F.replace(folded, F.lit("&"), F.lit(" and ")), NOT_WORD, " "), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.replace(folded, F.lit("&"), F.lit(" and ")), NOT_WORD + "+", " "))
 
 
 def basic(v: Column) -> Column:
