@@ -4,7 +4,8 @@
 conjunction of thresholds, by sequential covering on labelled statistics: a rule grows on two thirds of the rows by the
 condition of the largest FOIL gain, is pruned from its end on the last third while that raises its value there, and is kept
 if its precision on both parts reaches `precision`; the rows it covers go and the next rule grows. `verdict` emits the list
-as one ordered CASE expression.
+as one ordered CASE expression. Of conditions with equal gain the first feature of FEATURES and its lowest threshold win; a value
+equal to a threshold counts as above it; the first rule that holds decides.
 
 Inputs: null texts count as empty (all counts 0, base_failed true); labels that are null are no examples; labels rows that
 repeat a doc_id count once each; where no label or only one class is known the list is empty and the base rule alone
