@@ -107,3 +107,29 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int = K, near
     all_labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     score = F.greatest(F.coalesce("covered", F.lit(0.0)), F.when(F.col("n_base") > 0, 1.0).otherwise(0.0))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(all_labels, ",").alias("labels"), F.least(score, F.lit(1.0)).alias("score"))
+
+
+_VALUES = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(TEMPLATES))
+_PHRASES = ", ".join(f"('{phrase}', '{label}')" for phrase, label in PHRASES)
+#: The whole result, by grams as texts.
+ORACLE = rf"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+templates(template, label, text) AS (VALUES {_VALUES}),
+split AS (SELECT template, label, regexp_extract_all(text, '{WORD}') AS w FROM templates),
+wanted AS (SELECT template, label, len(w) - {K - 1} AS n, i AS spot, array_to_string(w[i:i + {K - 1}], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - {K - 2})) AS i FROM split)),
+rolling AS (SELECT doc_id, i AS pos, array_to_string(w[i:i + {K - 1}], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - {K - 2})) AS i FROM words)),
+votes AS (SELECT doc_id, template, label, n, pos - spot AS diagonal, min(pos) AS lo, max(pos) AS hi, list(DISTINCT spot) AS ats FROM rolling JOIN wanted USING (g) GROUP BY ALL),
+cut AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= {NEAR} AND abs(lo - lag(hi) OVER o) <= n + {NEAR} THEN 0 ELSE 1 END AS fresh FROM votes
+  WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal, lo)),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal, lo) AS run FROM cut),
+spans AS (SELECT doc_id, label, len(list_distinct(flatten(list(ats)))) / n AS covered FROM runs GROUP BY doc_id, template, label, n, run HAVING covered >= {SHARE}),
+found AS (SELECT doc_id, list(DISTINCT label) AS more, max(covered) AS covered FROM spans GROUP BY doc_id),
+phrases(phrase, label) AS (VALUES {_PHRASES}),
+places AS (SELECT doc_id, label, i - 1 AS spot FROM (SELECT doc_id, w, phrase, label, unnest(range(1, len(w) + 1)) AS i FROM words, phrases) WHERE array_to_string(w[i:i + len(string_split(phrase, ' ')) - 1], ' ') = phrase),
+base AS (SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list(DISTINCT label) AS base FROM places GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE least(coalesce(covered, 0.0), 1.0) END::DOUBLE AS score
+FROM words LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
+"""

@@ -249,3 +249,23 @@ def _leader_pairs(rows: DataFrame, checked: list[DataFrame], percent: int) -> Da
     lead = rows.groupBy("tk").agg(F.min(order).alias("lead"), F.count("*").alias("c")).where("c > 1").select("tk", "lead")
     pairs = rows.join(lead, "tk").where((F.col("comp") != F.col("lead.comp")) & _near_sizes(F.col("n"), F.col("lead.n"), percent))
     return pairs.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
+
+
+#: The whole result by comparing all documents that share a shingle: for small tables, as the compared one.
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b, c = x.n AND c = y.n AS equal FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ends AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM words UNION SELECT r.a, e.b FROM reach r JOIN ends e ON e.a = r.b),
+comps AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a),
+classes AS (SELECT b AS doc_id, min(a) AS class_id FROM links WHERE equal GROUP BY b)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept, coalesce(class_id, doc_id) AS class_id
+FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN comps USING (doc_id) LEFT JOIN classes USING (doc_id)
+"""

@@ -33,7 +33,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_minhash": op3_minhash, "op4_license_scan": op4_license_scan, "op5_quality_rules": op5_quality_rules, "op9_decontaminate": op9_decontaminate, "op10_mixing": op10_mixing}
-ORACLE_SQL: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_minhash": near_dup.ORACLE, "op4_license_scan": license_scan.ORACLE, "op7_warc": warc.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ QUERIES |= {"op8_token_files": op8_token_files}
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive(table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "time", "run", "offset", "length")
+    return warc.archive(table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

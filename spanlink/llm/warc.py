@@ -222,3 +222,16 @@ def archive(pages: DataFrame, min_bytes: int = 0, path: str | None = None) -> Da
     if path is None:
         drop_path(pages.sparkSession, target)
     return capture_index(captures)
+
+
+_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: The whole result; five hex digits of a digest are four base-32 digits.
+ORACLE = f"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+hashed AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first FROM payloads),
+groups AS (
+  SELECT page_id, payload_bytes, first, list_transform(range(8), lambda i: list_sum(list_transform(range(5), lambda j: (instr('0123456789abcdef', substr(hex, 5 * i + j + 1, 1)) - 1) << (4 * (4 - j))))::BIGINT) AS g FROM hashed)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, array_to_string(list_transform(g, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('{_DIGITS}', ((v >> s) & 31)::INT + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM groups
+"""
