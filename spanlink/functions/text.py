@@ -89,9 +89,27 @@ def script_group(v: Column) -> Column:
 #: Base letters of the Brahmic blocks by offset in the block, and vowel signs.
 _BRAHMIC = {5: "a", 6: "a", 7: "i", 8: "i", 9: "u", 10: "u", 15: "e", 16: "ai", 19: "o", 20: "au", 21: "k", 22: "kh", 23: "g", 24: "gh", 25: "n", 26: "c", 27: "ch", 28: "j", 29: "jh", 30: "n", 31: "t", 32: "th", 33: "d", 34: "dh", 35: "n", 36: "t", 37: "th", 38: "d", 39: "dh", 40: "n", 42: "p", 43: "ph", 44: "b", 45: "bh", 46: "m", 47: "y", 48: "r", 50: "l", 53: "v", 54: "sh", 55: "s", 56: "s", 57: "h"}
 _SIGNS = {62: "a", 63: "i", 64: "i", 65: "u", 66: "u", 71: "e", 72: "ai", 75: "o", 76: "au", 1: "n", 2: "m", 3: "h"}
+#: Letters of other alphabets and their usual romanisation.
+_ALPHABETS = (
+    "а a б b в v г g д d е e ё e ж zh з z и i й y к k л l м m н n о o п p р r с s т t у u ф f х kh ц ts ч ch ш sh щ shch ъ - ы y ь - э e ю yu я ya і i ї yi є ye ґ g ў u ј j љ lj њ nj ћ c ђ d џ dz",
+    "α a β v γ g δ d ε e ζ z η i θ th ι i κ k λ l μ m ν n ξ x ο o π p ρ r σ s ς s τ t υ y φ f χ ch ψ ps ω o",
+    "ا a ب b ت t ث th ج j ح h خ kh د d ذ dh ر r ز z س s ش sh ص s ض d ط t ظ z ع - غ gh ف f ق q ك k ل l م m ن n ه h و w ي y ء - آ a أ a إ i ؤ w ئ y ة h ى a پ p چ ch ژ zh گ g ک k ی y ہ h ے e ٹ t ڈ d ڑ r ں n",
+)
+_LETTERS = {k: "" if v == "-" else v for line in _ALPHABETS for k, v in zip(line.split()[::2], line.split()[1::2], strict=True)}
 _LATIN = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "þ": "th", "ð": "d", "ı": "i"}
 
 
+def _letter(c: str) -> str:
+    """A character of an alphabet: by table, as a digit, or without its marks."""
+    low = c.lower()
+    if low in _LATIN or low in _LETTERS:
+        return _LATIN.get(low, _LETTERS.get(low))
+    if ord(c) > 127 and (digit := unicodedata.digit(c, None)) is not None:
+        return str(digit)
+    plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+    return "".join(_LETTERS.get(x.lower(), x) for x in plain)
+
+
 def _romanize(text: str | None) -> str | None:
     if text is None:
         return None
@@ -109,7 +127,7 @@ def _romanize(text: str | None) -> str | None:
             else:
                 out.append(_SIGNS.get(place, ""))
         else:
-            out.append(_LATIN.get(c) or "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)))
+            out.append(_letter(c))
     return "".join(out)
 
 

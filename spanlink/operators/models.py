@@ -7,10 +7,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
+from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel, IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,6 +132,24 @@ class ProbabilityCalibrator:
             self.models |= {r[segment]: self._one(df.where(F.col(segment) == r[segment]), r["n"]) for r in sizes}
         return self
 
+    def save(self, path: str) -> None:
+        """Models by segment, with the method and the segment's column."""
+        from pyspark.sql import SparkSession
+
+        keys = list(self.models)
+        for i, k in enumerate(keys):
+            self.models[k].write().overwrite().save(f"{path}/model{i}")
+        rows = [(self.method, self.segment, i, None if k is None else str(k)) for i, k in enumerate(keys)]
+        SparkSession.active().createDataFrame(rows, "method string, segment string, model int, value string").write.mode("overwrite").json(f"{path}/meta")
+
+    @classmethod
+    def load(cls, spark, path: str) -> ProbabilityCalibrator:
+        rows = [r.asDict() for r in spark.read.schema("method string, segment string, model int, value string").json(f"{path}/meta").collect()]  # a row a segment
+        out = cls(rows[0]["method"])
+        kind = IsotonicRegressionModel if out.method == "isotonic" else LogisticRegressionModel
+        out.segment, out.models = rows[0]["segment"], {r["value"]: kind.load(f"{path}/model{r['model']}") for r in rows}
+        return out
+
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds calibrated."""
         parts, rest = [], df
@@ -160,6 +178,20 @@ class QueryModels:
         self.counts = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="__x", labelCol="n_true", regParam=0.1).fit(_assembled(df, self.features))
         return self
 
+    def save(self, path: str) -> None:
+        from pyspark.sql import SparkSession
+
+        self.exists.write().overwrite().save(f"{path}/exists")
+        self.counts.write().overwrite().save(f"{path}/counts")
+        SparkSession.active().createDataFrame([(f,) for f in self.features], "feature string").coalesce(1).write.mode("overwrite").text(f"{path}/features")
+
+    @classmethod
+    def load(cls, spark, path: str) -> QueryModels:
+        out = cls()
+        out.features = [r["value"] for r in spark.read.text(f"{path}/features").collect()]  # ten names
+        out.exists, out.counts = GBTClassificationModel.load(f"{path}/exists"), GeneralizedLinearRegressionModel.load(f"{path}/counts")
+        return out
+
     def predict(self, aggregates: DataFrame) -> DataFrame:
         """(q, existence, expected_count)."""
         df = _score(aggregates, self.exists, self.features, "existence")

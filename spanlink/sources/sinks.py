@@ -6,6 +6,7 @@ import csv
 import hashlib
 import json
 import os
+import platform
 import re
 import tempfile
 import time
@@ -164,7 +165,7 @@ def table_fingerprint(df: DataFrame) -> dict:
 @contextmanager
 def stage_manifest(path: str, stage: str, config: dict, inputs: dict | None = None):
     """A JSON record of a stage: running, then complete with its outputs, or failed."""
-    record = {"stage": stage, "config_sha256": hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest(), "inputs": inputs or {}, "outputs": {}, "status": "running", "started_at": time.time()}
+    record = {"stage": stage, "config_sha256": hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest(), "environment": {"python": platform.python_version(), "platform": platform.platform(), "cpus": os.cpu_count()}, "inputs": inputs or {}, "outputs": {}, "status": "running", "started_at": time.time()}
     atomic_json(record, path)
     try:
         yield record

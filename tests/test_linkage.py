@@ -280,19 +280,35 @@ def test_manifest_and_logs(spark, tmp_path):
     assert sinks.table_fingerprint(df) == sinks.table_fingerprint(df.orderBy(F.desc("id")))
 
 
-def test_models(spark):
+def test_models(spark, tmp_path):
     rows = [(f"q{i % 20}", f"t{i}", float(i % 2 + (i % 7) / 10), i % 2) for i in range(200)]
     df = decision.assign_group_folds(spark.createDataFrame(rows, "q string, t string, x double, label int"), folds=2)
     m = models.train_cross_fitted(df, 2, ["x"], {"maxIter": 2, "maxDepth": 2, "minInstancesPerNode": 1})
     assert m.oof.count() == 200 and m.predict(df).where("score > 0.5").count() == 100
-    cal = models.ProbabilityCalibrator("platt", 10).fit(m.oof, "fold").predict(m.oof)
+    fitted = models.ProbabilityCalibrator("platt", 10).fit(m.oof, "fold")
+    cal = fitted.predict(m.oof)
     assert cal.where("calibrated between 0 and 1").count() == 200
+    fitted.save(f"{tmp_path}/cal")
+    again = models.ProbabilityCalibrator.load(spark, f"{tmp_path}/cal").predict(m.oof)
+    assert sorted(again.select("t", F.round("calibrated", 9)).collect()) == sorted(cal.select("t", F.round("calibrated", 9)).collect())
+    a = evaluation.query_aggregates(m.oof)
+    counts = a.select("q", (F.col("n_p50") > 4).cast("int").alias("n_true"))
+    fitted = models.QueryModels().fit(a, counts.withColumn("n_true", F.pmod(F.xxhash64("q"), F.lit(2))), {"maxIter": 1, "maxDepth": 1, "minInstancesPerNode": 1})
+    fitted.save(f"{tmp_path}/query")
+    loaded = models.QueryModels.load(spark, f"{tmp_path}/query")
+    assert sorted(loaded.predict(a).collect()) == sorted(fitted.predict(a).collect())
     with pytest.raises(ValueError):
         models.train_cross_fitted(df.withColumn("label", F.lit(1)), 2, ["x"])
     pairs = spark.createDataFrame([("a", "b")] * 5, "query_text string, target_text string")
     assert models.rerank(pairs, lambda a, b: [1.0] * len(a), 2).where("rerank_score = 1").count() == 5
 
 
+def test_alphabets(spark):
+    texts = {"Москва, Щёкино": "moskva shchekino", "Αθήνα": "athina", "شركة ٣٤": "shrkh 34", "Łódź": "lodz"}
+    for text, want in texts.items():
+        assert one(spark, text, X.romanize) == (want,)
+
+
 def test_smoke_recall(spark):
     q, t, truth = readers.smoke_records(spark)
     out = workflow.link(q, t, top_k=5, final_cap=10, min_df=1).where("selected")
