@@ -148,7 +148,7 @@ def text_views(spark, d):
     docs = load(spark, d, "documents").where("lang in ('fr', 'es')")
     v = docs.select("doc_id", X.text_variants(F.left("text", F.lit(400))).alias("v"))
     parts = v.select("doc_id", F.get("v", F.lit(0)).alias("native"), F.when(F.size("v") == 3, F.get("v", F.lit(1))).alias("second"), F.element_at("v", -1).alias("compact"), F.size("v").alias("n"))
-    return parts.where("n >= 2 and not contains(compact, ' ')").select("doc_id", "native", "second", "compact")
+    return parts.where("n >= 2 and contains(native, ' ') and not contains(compact, ' ')").select("doc_id", "native", "second", "compact")
 
 
 # Errors, with every kind present.
