@@ -341,3 +341,20 @@ def test_entry_without_llm(spark):
 
     code = "import sys; sys.modules['spanlink.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'op1_language_id' not in e.queries() and e.oracle_sql()"
     assert subprocess.run([sys.executable, "-c", code], cwd=str(__import__("pathlib").Path(__file__).parent.parent)).returncode == 0
+
+
+def test_equal_texts_are_multiplied_once(spark):
+    texts = ["red ring", "red ring", "blue ring", "old plate", None, "red ring"]
+    df = spark.createDataFrame([(f"r{i}", x) for i, x in enumerate(texts)], "id string, text string")
+    idf, postings = sparse.fit(df, "id", "text", 3, 5, 2, None, True)
+    assert values(sparse.text_idf(df, "text", 3, 5, 2, None)) == values(idf)
+    side = lambda k: df.select(F.col("id").alias(k), F.col("text").alias(f"{k}_text"))
+    pairs = side("q").crossJoin(side("t"))
+    plain = sparse.pair_cosine(pairs.select("q", "t"), postings, postings, "s").select("q", "t", F.round("s", 9).alias("s"))
+    seen = []
+    real, sparse.pair_cosine = sparse.pair_cosine, lambda p, *rest: seen.append(p.count()) or real(p, *rest)
+    try:
+        once = sparse.text_cosine(pairs, "q_text", "t_text", idf, "s", sublinear=True, decimals=9).select("q", "t", "s")
+    finally:
+        sparse.pair_cosine = real
+    assert values(once) == values(plain) and len(values(once)) == 36 and seen == [9]
