@@ -358,3 +358,20 @@ def test_equal_texts_are_multiplied_once(spark):
     finally:
         sparse.pair_cosine = real
     assert values(once) == values(plain) and len(values(once)) == 36 and seen == [9]
+
+
+def test_measures_of_equal_values_are_made_once(spark, monkeypatch):
+    cols = "string, business_name string, business_address string, country string"
+    names = ["Red Ring", "ring red ltd", "!!", ""]
+    rows = [(i, names[i % 4], f"{i % 3} Brand#{i % 2} 1234{i % 2}", "xyz"[i % 3]) for i in range(24)]
+    q, t = (X.prepare(spark.createDataFrame([(f"S{s}-{i}", *r) for i, *r in rows], f"{k} {cols}")) for k, s in (("q", 1), ("t", 3)))
+    pairs = q.select("q").crossJoin(t.select("t")).withColumn("block_mask", F.lit(9).cast("long"))
+    seen = []
+    real = features._field_measures
+    monkeypatch.setattr(features, "_field_measures", lambda kinds, f: seen.append((f, kinds.count())) or real(kinds, f))
+    out = {(r["q"], r["t"]): r for r in features.lexical_features(pairs, q, t).collect()}
+    assert seen == [("name", 9), ("address", 36)] and len(out) == 576
+    r = out["S1-0", "S3-1"]
+    assert r["name_ratio"] == S.ratio("red ring", "ring red ltd") and r["name_jaccard"] == 2 / 3 and r["core_exact"] == r["name_exact"] == 0 and r["same_country"] == 0
+    assert r["name_address_product"] == r["name_ratio"] * r["address_ratio"] and r["postal_conflict"] == 1 and r["source3"] == 1 and r["retrieval_count"] == 2
+    assert out["S1-2", "S3-2"]["unicode_name_exact"] == 1 and out["S1-3", "S3-3"]["unicode_name_exact"] == 0 and out["S1-3", "S3-3"]["name_missing"] == 1
