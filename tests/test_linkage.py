@@ -400,3 +400,18 @@ def test_equal_queries_are_searched_once(spark, monkeypatch):
     assert seen == [4] * 4 and out.groupBy("q").count().count() == 40
     of = lambda k: sorted((r["t"], r["fused_rank"], r["source_count"]) for r in out.where(F.col("q") == k).collect())
     assert of("q2") == of("q38") and {x for x, *_ in of("q2")} >= {"t2", "t6"}
+
+
+def test_batch_pairs_of_equal_queries(spark, tmp_path, monkeypatch):
+    from spanlink.plans import baseline, record_queries
+    from spanlink.plans.queries import sides
+
+    rows = [(k, ("red ring", "Blue plate")[k // 3 % 2], f"Brand#{k // 6 % 2}", "tin", k // 3 % 2) for k in range(72)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    q, t = (X.prepare(x) for x in sides(spark, str(tmp_path)))
+    met = blocking.block_candidates(q, blocking.build_index(t), 100).join(q.select("q", "name", "address"), "q").join(t.select("t", F.col("name").alias("n"), F.col("address").alias("a")), "t")
+    want = met.selectExpr("count(*)", "count(distinct q)", "sum(cast(name = n and address = a as int))", "sum(bit_count(block_mask))").first()
+    seen = []
+    real = baseline.batch_features
+    monkeypatch.setattr(baseline, "batch_features", lambda q, *rest: seen.append(q.count()) or real(q, *rest))
+    assert tuple(record_queries.batch_pairs(spark, str(tmp_path)).first()) == tuple(want) and seen == [4] and want[1] == 24
