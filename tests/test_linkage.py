@@ -415,3 +415,18 @@ def test_batch_pairs_of_equal_queries(spark, tmp_path, monkeypatch):
     real = baseline.batch_features
     monkeypatch.setattr(baseline, "batch_features", lambda q, *rest: seen.append(q.count()) or real(q, *rest))
     assert tuple(record_queries.batch_pairs(spark, str(tmp_path)).first()) == tuple(want) and seen == [4] and want[1] == 24
+
+
+def test_lexical_features_of_equal_queries(spark, tmp_path):
+    from spanlink.plans.queries import QUERIES, sides
+
+    rows = [(k, ("red ring", "Blue plate")[k // 3 % 2], f"Brand#{k // 6 % 2}", "tin", k // 3 % 2) for k in range(72)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    q, t = (X.prepare(x) for x in sides(spark, str(tmp_path)))
+    pairs = blocking.block_candidates(q, blocking.build_index(t), 100)
+    want = features.lexical_features(pairs, q, t)
+    out = sinks.stored(QUERIES["lexical_features"](spark, str(tmp_path)), "out")
+    assert out.where("t is null").count() == 20 and out.where("t is not null").select("q").distinct().count() == 4
+    members = out.select("q", "same_as").distinct()
+    whole = out.where("t is not null").drop("q").join(members, "same_as")
+    assert members.count() == 24 and values(whole, *want.columns) == values(want)
