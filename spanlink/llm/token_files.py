@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 
@@ -42,8 +41,10 @@ ESCAPE, PAD = 15, 60
 FILE_BYTES, CHUNK_BYTES = 12 << 20, 1 << 20
 #: Text bytes of a range of doc_ids, which one task sorts and writes as several files.
 RANGE_BYTES = 256 << 20
-#: Pieces that a worker remembers at most, and their characters.
-CACHE_PIECES, CACHE_CHARS = 400_000, 6 << 20
+#: Pieces that a worker remembers at most (a power of 2), ids that they have, about, and long pieces.
+CACHE_PIECES, CACHE_IDS, CACHE_LONG = 1 << 21, 8 << 20, 20_000
+#: Bytes of plain text that are cut at once.
+CUT_BYTES = 1 << 18
 
 
 def _needs(ids: np.ndarray) -> np.ndarray:
@@ -67,17 +68,19 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flat = np.zeros(blocks * BLOCK, np.uint64)
     flat[:n] = ids
     wide[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    need = _SHORT[wide] if int(ids.max()) < len(_SHORT) else _needs(wide)
+    need = np.zeros(wide.shape, np.uint8)
+    need[:, :BLOCK] = (_SHORT[flat.astype(np.int64)] if int(ids.max()) < len(_SHORT) else _needs(flat)).reshape(blocks, BLOCK)
     top = {1: need}
     for c in (2, 4, 8, 16, 32):
         half = top[c // 2]
         top[c] = np.maximum(half[:, : half.shape[1] - c // 2], half[:, c // 2 :])
-    choice = np.full((blocks, BLOCK), ESCAPE, np.uint8)
-    for s in range(len(PACKINGS) - 1, -1, -1):
-        count, width = PACKINGS[s]
+    # ids that fit a packing fit all later ones: their selector is the number of those that they don't fit
+    choice = np.zeros((blocks, BLOCK), np.uint8)
+    for count, width in PACKINGS:
         c = 1 << (count.bit_length() - 1)
         most = np.maximum(top[c][:, :BLOCK], top[c][:, count - c : count - c + BLOCK])
-        choice[most <= width] = s
+        choice += most > width
+    choice[choice == len(PACKINGS)] = ESCAPE
     counts = np.array([c for c, _ in PACKINGS] + [1, 1], np.int64)
     held = np.full(blocks, BLOCK, np.int64)
     held[-1] = n - (blocks - 1) * BLOCK
@@ -139,11 +142,11 @@ def unpack(heads: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
     return wide.reshape(blocks, BLOCK + PAD)[:, :BLOCK].ravel()[:n]
 
 
-def chunk(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
+def chunk(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     heads, words = pack(ids)
     has = np.array([d is not None for d in doc_ids], np.uint8)
     known = np.array([d or 0 for d in doc_ids], "<i8")
-    return b"".join((HEAD.pack(MAGIC, len(doc_ids), len(ids), len(heads) - 1, len(words)), has.tobytes(), known.tobytes(), np.array(lengths, "<u8").tobytes(), heads.astype("<u4").tobytes(), words.astype("<u8").tobytes()))
+    return b"".join((HEAD.pack(MAGIC, len(doc_ids), len(ids), len(heads) - 1, len(words)), has.tobytes(), known.tobytes(), lengths.astype("<u8").tobytes(), heads.astype("<u4").tobytes(), words.astype("<u8").tobytes()))
 
 
 def chunks(data: bytes):
@@ -166,10 +169,23 @@ def chunks(data: bytes):
 
 
 #: Plain text, whose classes and lower-case forms are plain, has the characters 00 to 1B, 20 to 7E, and the letters of C0 to FF; no "<|".
-_ODD_BYTE = np.ones(256, bool)
-_ODD_BYTE[[*range(0x1C), *range(0x20, 0x7F), *range(0x80, 0xC0), 0xC3]] = False
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
-#: The settings of a tokenizer file for which _PIECES cuts plain, lower-case text as the tokenizer does.
+#: Of its bytes 0 are plain, 1 are not, 2 depend on the next byte.
+_ODD = np.ones(256, np.uint8)
+_ODD[[*range(0x1C), *range(0x20, 0x7F), *range(0x80, 0xC0)]] = 0
+_ODD[[0xC3, ord("<")]] = 2
+#: Kinds of the bytes of plain, lower-case text.
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[*range(9, 14), 32]] = _SPACE
+_KIND[[*range(ord("a"), ord("z") + 1), *range(0x80, 256)]] = _LETTER
+_KIND[ord("0") : ord("9") + 1] = _DIGIT
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+#: The first n bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Second word of pieces of more than 15 bytes; none of the others has it.
+LONG = np.uint64(2**64 - 1)
+#: The settings of a tokenizer file for which cut() cuts plain, lower-case text as the tokenizer does.
 PLAIN_RULES = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
     "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
@@ -191,67 +207,201 @@ def has_plain_rules(settings: dict) -> bool:
     return all(settings.get(k) == v for k, v in PLAIN_RULES.items()) and all(t["content"].startswith("<|") for t in settings.get("added_tokens") or ())
 
 
-def plain_texts(texts: pa.Array) -> list[bool]:
+def plain_texts(texts: pa.Array) -> np.ndarray:
     """Whether each text has plain characters alone; others, and those that may hold a special token, are encoded whole."""
     body, offsets = text_buffer(texts)
-    odd = _ODD_BYTE[body]
-    if len(body) > 1:
-        after = body[1:]
-        odd[1:] |= (body[:-1] == 0xC3) & ((after == 0x97) | (after == 0xB7)) | (body[:-1] == ord("<")) & (after == ord("|"))
-    before = np.concatenate([[0], np.cumsum(odd)])
-    return (before[offsets[1:]] == before[offsets[:-1]]).tolist()
-
+    kind = _ODD[body]
+    at = np.flatnonzero(kind)
+    byte, after = body[at], body[np.minimum(at + 1, max(len(body) - 1, 0))]
+    at = at[(kind[at] == 1) | (byte == 0xC3) & ((after == 0x97) | (after == 0xB7)) | (byte == ord("<")) & (after == ord("|"))]
+    before = np.searchsorted(at, offsets)
+    return before[1:] == before[:-1]
+
+
+def lower(body: np.ndarray) -> np.ndarray:
+    """Bytes of plain text in lower case."""
+    low = _LOWER[body]
+    at = np.flatnonzero(low[:-1] == 0xC3) + 1
+    low[at[low[at] <= 0x9E]] += 32
+    return low
+
+
+def cut(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of plain, lower-case text that begins and ends with a space."""
+    kind = _KIND[low]
+    new = np.empty(len(low), bool)
+    new[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=new[1:])
+    new |= kind == _DIGIT
+    at = np.flatnonzero(low[:-1] == ord("'"))
+    at = at[kind[at - 1] != _OTHER]  # others are inside a piece
+    one, two = low[at + 1], low[np.minimum(at + 2, len(low) - 1)]
+    short = (one == ord("s")) | (one == ord("t")) | (one == ord("m")) | (one == ord("d"))
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    new[at[short | long] + 1] = False
+    new[at[short] + 2] = True
+    new[at[long] + 3] = True
+    edges = np.flatnonzero(new)
+    real = kind[edges] != _SPACE
+    return edges[real], np.append(edges[1:], len(low))[real]
+
+
+def keys(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two words for each piece, its bytes and above them its length, so no other piece has both; the second is LONG for more than 15 bytes."""
+    room = np.zeros(len(low) // 8 + 4, np.uint64)
+    room.view(np.uint8)[: len(low)] = low
+
+    def eight(at: np.ndarray) -> np.ndarray:
+        word, bits = at >> 3, (at & 7).astype(np.uint64) << np.uint64(3)
+        return (room[word] >> bits) | ((room[word + 1] << (np.uint64(56) - bits)) << np.uint64(8))
+
+    n = ends - starts
+    first, second = eight(starts) & _FIRST[np.minimum(n, 8)], n.astype(np.uint64) << np.uint64(56)
+    more = np.flatnonzero(n > 8)
+    second[more] |= eight(starts[more] + 8) & _FIRST[np.minimum(n[more] - 8, 7)]
+    second[more[n[more] > 15]] = LONG
+    return first, second
+
+
+class Known:
+    """Ids of pieces of up to 15 bytes, found for many pieces at once.
+
+    A piece has two places; where both are taken, the newcomer replaces one of them. The ids lie in a pool; when that is full,
+    all is forgotten.
+    """
 
-def _next_none(parts: list, at: int) -> int:
-    try:
-        return parts.index(None, at)
-    except ValueError:
-        return -1
+    def __init__(self, places: int) -> None:
+        self.shift = np.uint64(64 - (places.bit_length() - 1))
+        self.first, self.second, self.value = (np.zeros(places, np.uint64) for _ in range(3))
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def forget(self) -> None:
+        self.second[:] = 0
+        self.used = 0
+
+    def add(self, lists: list[list[int]]) -> np.ndarray:
+        """For each list of ids its place in the pool, times 2**32, and their number."""
+        number = np.array([len(x) for x in lists], np.uint64)
+        to = np.cumsum(number, dtype=np.uint64) + np.uint64(self.used)
+        at, self.used = self.used, self.used + int(number.sum())
+        if self.used > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), self.used), np.uint32)])
+        self.pool[at : self.used] = [i for x in lists for i in x]
+        return (to - number) << np.uint64(32) | number
+
+    def ids(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each value, ids of all)."""
+        at, number = (values >> np.uint64(32)).astype(np.int64), (values & np.uint64(2**32 - 1)).astype(np.int64)
+        to = np.cumsum(number)
+        return number, self.pool[np.repeat(at - to + number, number) + np.arange(number.sum())]
+
+    def _place(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        mixed = (first ^ second * np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(0x9E3779B97F4A7C15)
+        return ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB) >> self.shift).astype(np.int64)
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, pieces that are not known)."""
+        place = self._place(first, second)
+        out = self.value[place]
+        rest = np.flatnonzero((self.first[place] != first) | (self.second[place] != second))
+        place = place[rest] ^ 1
+        out[rest] = self.value[place]
+        return out, rest[(self.first[place] != first[rest]) | (self.second[place] != second[rest])]
+
+    def keep(self, first: np.ndarray, second: np.ndarray, value: np.ndarray) -> None:
+        """Remember the values of different pieces."""
+        place = self._place(first, second)
+        place ^= np.where(self.second[place] == 0, 0, np.where(self.second[place ^ 1] == 0, 1, value >> np.uint64(32) & np.uint64(1))).astype(np.int64)
+        self.first[place], self.second[place], self.value[place] = first, second, value
 
 
 class Encoder:
     """Ids of whole texts, piece by piece through a bounded cache.
 
     The tokenizer's rules cut a text into pieces that its model encodes one by one, and drop white space. Plain texts are cut
-    here by the same rules and only unknown pieces go to the model; all other texts go through the tokenizer. The shortcut is
-    taken only where the tokenizer file has these rules; `plain` turns it off.
+    here by the same rules, many at once, and only unknown pieces go to the model; all other texts go through the tokenizer. The
+    shortcut is taken only where the tokenizer file has these rules; `plain` turns it off.
     """
 
     def __init__(self, path: str, end_id: int, plain: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.known, self.chars, self.end = Tokenizer.from_file(path), {}, 0, np.array([end_id], "<u4").tobytes()
+        self.tok, self.end, self.long = Tokenizer.from_file(path), end_id, {}
         with open(path, encoding="utf-8") as f:
             self.plain = plain and has_plain_rules(json.load(f))
-        self.model, self.letters = self.tok.model, _byte_letters()
-
-    def _piece(self, piece: str) -> bytes:
-        if len(self.known) >= CACHE_PIECES or self.chars >= CACHE_CHARS:
-            self.known.clear()
-            self.chars = 0
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-        found = np.array(ids, "<u4").tobytes()
-        if len(piece) < 100:  # longer ones hardly come again
-            self.known[piece] = found
-            self.chars += len(piece)
-        return found
-
-    def all(self, texts: pa.Array) -> list[bytes]:
-        """For each text its little-endian unsigned 32-bit ids, the end id last."""
-        plain = plain_texts(texts) if self.plain else [False] * len(texts)
-        return [self._one(t, p) for t, p in zip(texts.to_pylist(), plain, strict=True)]
-
-    def _one(self, text: str | None, plain: bool) -> bytes:
-        if not text:
-            return self.end
-        if not plain:
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
-        pieces = _PIECES.findall(text.lower())
-        parts, at = list(map(self.known.get, pieces)), -1
-        while (at := _next_none(parts, at + 1)) >= 0:
-            parts[at] = self.known.get(pieces[at]) or self._piece(pieces[at])
-        return b"".join(parts) + self.end
+        self.model, self.letters, self.known = self.tok.model, {b: c for b, c in _byte_letters().items() if b != 32}, Known(CACHE_PIECES if self.plain else 2)
+
+    def all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, ids of all texts); the end id is the last one of each."""
+        plain = plain_texts(texts) if self.plain else np.zeros(len(texts), bool)
+        if plain.all():
+            return self._plain(texts)
+        whole = [self.tok.encode(t or "", add_special_tokens=False).ids + [self.end] for t in texts.filter(pa.array(~plain)).to_pylist()]
+        lengths, ids = self._plain(texts.filter(pa.array(plain)))
+        cuts, whole = iter(np.split(ids, np.cumsum(lengths))), iter(whole)
+        parts = [next(cuts) if p else np.array(next(whole), np.uint32) for p in plain]
+        return np.array([len(p) for p in parts], np.int64), np.concatenate(parts)
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        body, offsets = text_buffer(texts)
+        view, edges = memoryview(body), offsets.tolist()
+        low = lower(np.frombuffer(b" ".join([b"", *(view[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)), b""]), np.uint8))
+        at, starts, numbers, ids = 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        while at < len(low) - 1:
+            to = _last_space(low, at)
+            start, values = self._values(low[at : to + 1])
+            for out, x in zip((starts, numbers, ids), (start + at, *self.known.ids(values)), strict=True):
+                out.append(x)
+            at = to
+        before = np.concatenate([[0], np.cumsum(np.concatenate(numbers))])
+        edges = before[np.searchsorted(np.concatenate(starts), offsets + np.arange(len(offsets)))]  # of each text, from the space before it
+        return np.diff(edges) + 1, np.insert(np.concatenate(ids), edges[1:], self.end)
+
+    def _values(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the pieces and their values in the pool."""
+        if self.known.used >= CACHE_IDS:
+            self.known.forget()
+        if not self.known.used or len(self.long) >= CACHE_LONG:
+            self.long.clear()
+        starts, ends = cut(low)
+        first, second = keys(low, starts, ends)
+        values, fresh = self.known.find(first, second)
+        if len(fresh):
+            raw, is_long = low.tobytes(), second[fresh] == LONG
+            some = fresh[~is_long]
+            some = some[np.lexsort((first[some], second[some]))]
+            new = np.ones(len(some), bool)
+            new[1:] = (first[some[1:]] != first[some[:-1]]) | (second[some[1:]] != second[some[:-1]])
+            one = some[new]
+            learned = self._learn([raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
+            values[some] = learned[np.cumsum(new) - 1]
+            self.known.keep(first[one], second[one], learned)
+            some = fresh[is_long]
+            pieces = [raw[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+            new = [x for x in dict.fromkeys(pieces) if x not in self.long]
+            self.long.update(zip(new, self._learn(new).tolist(), strict=True))
+            values[some] = [self.long[x] for x in pieces]
+            for x in new:
+                if len(x) >= 100:  # hardly comes again
+                    del self.long[x]
+        return starts, values
+
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """Values of pieces that the model encodes now."""
+        letters = b" ".join(pieces).decode("latin-1").translate(self.letters).split(" ") if pieces else []
+        return self.known.add([[t.id for t in self.model.tokenize(x)] for x in letters])
+
+
+def _last_space(low: np.ndarray, at: int) -> int:
+    """The last space of the CUT_BYTES after at, or the first one after these; low ends with a space."""
+    to = at + CUT_BYTES
+    found = np.flatnonzero(_KIND[low[at + 1 : to + 1]] == _SPACE)
+    if len(found):
+        return at + 1 + int(found[-1])
+    while not len(found):
+        found, to = np.flatnonzero(_KIND[low[to : to + CUT_BYTES]] == _SPACE), to + CUT_BYTES
+    return to - CUT_BYTES + int(found[0])
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -282,8 +432,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, file_byte
             encode = encode or encoder(tokenizer, end_id)
             ids = batch.column(0).to_pylist()
             for at, part in slices(batch.column(1), CHUNK_BYTES):
-                coded = encode.all(part)
-                data = chunk(ids[at : at + len(part)], [len(c) // 4 for c in coded], np.frombuffer(b"".join(coded), "<u4"))
+                data = chunk(ids[at : at + len(part)], *encode.all(part))
                 yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["chunk"])
 
     dealt = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(ranges, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")

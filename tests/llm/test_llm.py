@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +154,40 @@ def test_token_files(spark):
     assert token_files.token_table(odd_docs(spark), BPE).count() == 8 and token_files.token_table(empty(spark), BPE).count() == 0
 
 
+def test_encoder_is_the_tokenizer_on_random_texts(monkeypatch):
+    monkeypatch.setattr(token_files, "CUT_BYTES", 64)
+    monkeypatch.setattr(token_files, "CACHE_PIECES", 1 << 8)
+    monkeypatch.setattr(token_files, "CACHE_IDS", 1 << 10)
+    rng, coder = random.Random(5), token_files.Encoder(BPE, 2)
+    plain = [*"abcXYZ'''sStTrReEvVlLmMdD  \t\n\r\x0b\x0c\x00\x01\x1b0123456789!?-.,<>_éÀÿßÞøñ", "'s", "'re", "'LL", "'ve", "!'s", "''s"]
+    odd = [*plain, *"\x1c|²×÷中е́\x85\xa0İΣ\x7f😀", "<|endoftext|>", "<|"]
+    runs = [c * n for c in "a\x00é='" for n in (7, 8, 9, 14, 15, 16, 17, 99, 100, 300)]
+    for _ in range(100):
+        some = [rng.choice([None, "", "".join(rng.choices(rng.choice([plain, plain, odd]), k=rng.choice([1, 2, 5, 30, 200]))), rng.choice(runs)]) for _ in range(rng.randrange(1, 30))]
+        array = pa.array(some, pa.string()).slice(rng.randrange(2))
+        lengths, ids = coder.all(array)
+        want = [[*coder.tok.encode(t or "", add_special_tokens=False).ids, 2] for t in array.to_pylist()]
+        assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_encoder_asks_the_model_once_for_a_piece():
+    class Counted:
+        def __init__(self, model):
+            self.model, self.asked = model, 0
+
+        def tokenize(self, piece):
+            self.asked += 1
+            return self.model.tokenize(piece)
+
+    coder = token_files.Encoder(BPE, 2)
+    coder.model = Counted(coder.model)
+    words = ["".join(chr(97 + n // 26**k % 26) for k in range(4)) for n in range(420_000)]
+    some = pa.array([" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)])
+    coder.all(some)
+    coder.all(some)
+    assert coder.model.asked < 1.2 * len(words)  # it was twice as many
+
+
 def test_warc(spark):
     rows = [(3, "http://www.b.com/x#f", "same"), (1, "https://a.b.com/?q=1", "same"), (2, None, None), (4, "http://a.com/", "WARC/1.1\r\n\r\nContent-Length: 3"), (4, "http://a.com/", "é"), (None, "u", "same")]
     got = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))).collect()
