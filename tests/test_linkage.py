@@ -430,3 +430,43 @@ def test_lexical_features_of_equal_queries(spark, tmp_path):
     members = out.select("q", "same_as").distinct()
     whole = out.where("t is not null").drop("q").join(members, "same_as")
     assert members.count() == 24 and values(whole, *want.columns) == values(want)
+
+
+@pytest.mark.parametrize(("name", "list_keys", "task_pairs"), [("Blue plate", 1000, 10**6), ("Plaque d'Été", 5, 30)])
+def test_tfidf_pairs_of_equal_records(spark, tmp_path, monkeypatch, name, list_keys, task_pairs):
+    from spanlink.operators import values as V
+    from spanlink.plans import record_queries
+    from spanlink.plans.queries import sides
+
+    rows = [(k, ("red ring", name, "ringed  PLATE", "?")[k // 3 % 4], f"Brand#{k // 12 % 2}", "tin", k // 12 % 2) for k in range(144)]
+    rows += [(k, (None, "solo")[k % 2], "Brand#9", "tin", 9) for k in range(200, 206)] + [(None, "solo", "Brand#9", "tin", 9)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    q, t = (X.prepare(x) for x in sides(spark, str(tmp_path)))
+    idf, postings = sparse.fit(t, "t", "name", 3, 5, 2, None, True)
+    asked = sparse.weigh(sparse.term_counts(q, "q", "name", 3, 5), idf, True)
+    met = q.select("q", "address").join(t.select("t", "address"), "address").select("q", "t")
+    want = sparse.pair_cosine(met, asked, postings, "s").select("q", "t", F.round("s", 6).alias("s"))
+    monkeypatch.setattr(V, "LIST_KEYS", list_keys)
+    monkeypatch.setattr(V, "TASK_PAIRS", task_pairs)
+    seen, real = [], sparse.text_cosine
+    monkeypatch.setattr(sparse, "text_cosine", lambda pairs, *a, **b: seen.append(pairs.count()) or real(pairs, *a, **b))
+    out = values(record_queries.tfidf_pairs(spark, str(tmp_path)))
+    assert out == values(want) and len(out) == 2 * 24 * 48 + 2 * 4
+    assert seen == [2 * 16 + 4] if list_keys == 1000 else 2 * 16 + 4 < seen[0] < len(out)
+
+
+def test_lists_that_meet(spark, monkeypatch):
+    from spanlink.operators import values as V
+
+    monkeypatch.setattr(V, "LIST_KEYS", 10)
+    monkeypatch.setattr(V, "TASK_PAIRS", 100)
+    df = lambda k, n: spark.range(n).select(F.concat(F.lit(k), "id").alias(k), F.when(F.col("id") < n - 2, "a").otherwise("b").alias("x"))
+    q, t = df("q", 90), df("t", 50)
+    some = [V.lists(x, k, "x") for x, k in ((q, "q"), (t, "t"))]
+    assert all(max(len(r[k]) for r in x.collect()) <= 30 for x, k in zip(some, "qt", strict=True))
+    met = V.meet(*some, "q", "t", "x")
+    assert met.groupBy("x").agg(F.count("*").alias("n")).where("x = 'a' and n > 20").count() == 1
+    assert values(met.select("x", F.explode("q").alias("q"), "t").select("q", F.explode("t").alias("t"))) == values(q.join(t, "x").select("q", "t"))
+    plain = spark.createDataFrame([(" A&b ", "NaN"), (None, "x-1")], "business_name string, business_address string")
+    assert X.all_ascii(plain, "business_name") and values(X.prepare(plain, True), "name", "address", "core", "digits") == values(X.prepare(plain), "name", "address", "core", "digits")
+    assert not X.all_ascii(spark.createDataFrame([("é",)], "v string"), "v")
